@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import components, cut
+from tracewright.llm.linking import connect
+from tracewright.llm.shared import cut
 from tracewright.llm.textarrays import U, chunks, mix, prefix_hash, span_hash, words
 
 BANDS, ROWS = 24, 4
@@ -37,8 +38,6 @@ BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 #: Signature values compared between two looks at the posterior.
 BATCH = 16
-#: Members of a block of a mixed bucket, on average.
-BLOCK = 256
 
 
 @lru_cache(1)
@@ -104,7 +103,7 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(band, id): a row for each band of each signature."""
+    """(key, id): a row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +111,9 @@ def banded(reps: DataFrame) -> DataFrame:
             h = np.zeros(sig.shape[:2], U) + np.arange(BANDS, dtype=U)
             for r in range(ROWS):
                 h = mix(h * U(0x9FB21C651E98DF25) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["band", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, f"band long, id {reps.schema['id'].dataType.simpleString()}")
+    return reps.select("id", "sig").mapInArrow(run, f"key long, id {reps.schema['id'].dataType.simpleString()}")
 
 
 @lru_cache(4)
@@ -153,45 +152,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
 
 
-def prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """pairs (a, b, sig_a, sig_b) that stay, as (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = np.arange(batch.num_rows)
-            keep = pa.array(survivors(_matrix(batch.column(2)), _matrix(batch.column(3)), i, i, threshold, miss))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def across(blocks: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Block pairs (same, x, y: arrays of (id, component, sig)) to the pairs of different components that stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                side = []
-                for c in (1, 2):
-                    v = batch.column(c).slice(r, 1).flatten()
-                    ids, comp, sig = v.field(0), v.field(1), v.field(2)
-                    side.append((ids.to_numpy(zero_copy_only=False), comp.to_numpy(zero_copy_only=False), _matrix(sig)))
-                (ia, ca, sa), (ib, cb, sb) = side
-                for lo in range(0, len(ia), 64):
-                    la, lb = np.nonzero(ca[lo : lo + 64, None] != cb[None, :])
-                    la += lo
-                    if batch.column(0)[r].as_py():
-                        la, lb = la[ia[la] < ib[lb]], lb[ia[la] < ib[lb]]
-                    keep = survivors(sa, sb, la, lb, threshold, miss)
-                    if len(keep):
-                        p, q = ia[la[keep]], ib[lb[keep]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    kind = blocks.select(F.col("x")[0]["id"]).schema[0].dataType.simpleString()
-    return blocks.select("same", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; docs: (id, text) of distinct ids."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -231,34 +191,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sketched = cut(sketch(docs, shingle_words, "id"), "sketch")
     full = sketched.where("n_shingles > 0 and id is not null")
     reps = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
-    bands = cut(banded(reps), "bands")
-    # The hub of a bucket is the member whose mixed id is least: the same one in all buckets of a small group.
-    order = F.struct(F.xxhash64("id").alias("p"), F.col("id"))
-    shared = cut(bands.groupBy("band").agg(F.min(order)["id"].alias("hub"), F.count("id").alias("n")).where("n > 1"), "buckets")
-    crowded = cut(bands.join(shared, "band"), "crowded")
-    sig = reps.select("id", "sig")
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-
-    hubs = crowded.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     source = docs.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    first = cut(prune(signed(hubs), threshold, miss), "survivors")
-    links = cut(verify(first, source, shingle_words, percent), "links")
-    comp = cut(components(links, "a", "b"), "components")
-    # What is left: pairs of one bucket in different components.
-    of = crowded.join(comp, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    of = cut(of, "of")
-    mixed = of.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("n").alias("size")).where("c1 != c2").select("band", "size")
-    mixed = cut(mixed.where("size > 2"), "mixed")  # two members were compared as a hub's pair
-    dealt = of.join(mixed, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = dealt.join(sig, "id").groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "sig")).alias("x"))
-    dealt = cut(dealt, "blocks")
-    other = dealt.select("band", F.col("block").alias("block2"), F.col("x").alias("y"))
-    pairs = dealt.join(other, "band").where("block <= block2").select((F.col("block") == F.col("block2")).alias("same"), "x", "y")
-    late = cut(across(pairs, threshold, miss).distinct().join(first, ["a", "b"], "left_anti"), "late")
-    links = links.unionByName(verify(late, source, shingle_words, percent))
-    comp = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
+    stay = partial(survivors, threshold=threshold, miss=miss)
+    comp = connect(banded(reps), reps.select("id", "sig"), _matrix, stay, lambda pairs: verify(pairs, source, shingle_words, percent)).select(F.col("id").alias("rep"), "component")
     member = reps.select("d1", "d2", F.col("id").alias("rep")).join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     found = sketched.join(member, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("id"))
