@@ -1,8 +1,9 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
 Every member of a bucket is first paired with one hub of it. Confirmed pairs make components; only
-buckets that still hold several components go on: their members are dealt into blocks of bounded
-size, and block pairs compare signatures across components. Every pair of one bucket is thus either
+buckets that still hold several components go on, first with a few hubs drawn anew for each bucket;
+what then still is apart is dealt into blocks of bounded size, and block pairs compare signatures
+across components. Every pair of one bucket is thus either
 inside one component already or looked at, whatever the bucket's size.
 """
 
@@ -19,6 +20,8 @@ from tracewright.llm.shared import components, cut
 
 #: Members of a block of a mixed bucket, on average.
 BLOCK = 256
+#: Members of a mixed bucket that all others of it are compared with.
+HUBS = 3
 
 Parse = Callable[[pa.Array], np.ndarray]
 Stay = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -80,15 +83,32 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, verify:
     buckets = cut(keyed.groupBy("key").agg(F.min(order)["id"].alias("hub"), F.count("id").alias("n")).where("n > 1"), "buckets")
     crowded = cut(keyed.join(buckets, "key"), "crowded")
     hubs = crowded.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    first = cut(prune(hubs, parse, stay), "survivors")
+    first = cut(prune(signed(hubs, sig), parse, stay), "survivors")
     links = cut(verify(first), "links")
-    comp = cut(components(links, "a", "b"), "components")
-    of = cut(crowded.where("n > 2").join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "of")
-    mixed = cut(of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "mixed")
-    dealt = of.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    # Second look, at buckets of several components: members against hubs drawn anew for each bucket, if not of their component.
+    rows = crowded.where("n > 2").select("key", "id", "n")
+    of, mixed = several(rows, components(links, "a", "b"))
+    drawn = F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")
+    again = of.join(mixed, "key").select("id", "component", drawn).where("component != hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    second = cut(prune(signed(again.join(first, ["a", "b"], "left_anti"), sig), parse, stay), "survivors")
+    links = links.unionByName(cut(verify(second), "links"))
+    # Last, what is left: block pairs.
+    of, mixed = several(of.select("key", "id", "n"), components(links, "a", "b"))
+    dealt = of.join(mixed.select("key"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
     dealt = cut(dealt.join(sig, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "sig")).alias("x")), "blocks")
     other = dealt.select("key", F.col("block").alias("block2"), F.col("x").alias("y"))
     pairs = dealt.join(other, "key").where("block <= block2").select((F.col("block") == F.col("block2")).alias("same"), "x", "y")
-    late = cut(across(pairs, kind, parse, stay).distinct().join(first, ["a", "b"], "left_anti"), "late")
+    late = cut(across(pairs, kind, parse, stay).distinct().join(first.unionByName(second), ["a", "b"], "left_anti"), "late")
     return components(links.unionByName(verify(late)), "a", "b")
+
+
+def signed(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    return pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+
+def several(rows: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (key, id, n) with their component; the keys that hold several components, each with HUBS members drawn by a hash."""
+    of = cut(rows.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "of")
+    hubs = [F.min(F.struct(F.xxhash64("id", "key", F.lit(i)).alias("p"), "id", "component")).alias(f"hub{i}") for i in range(HUBS)]
+    mixed = of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), *hubs).where("c1 != c2")
+    return of, cut(mixed.drop("c1", "c2"), "mixed")
