@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, linededup, minhash, toxicity
+from tracewright.llm import byte_bpe, decontaminate, linededup, minhash, toxicity, warc
+from tracewright.llm.shared import cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "archives")
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    r = warc.records(spark, path, cut(warc.read(spark, path), "records"))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    r = r.select(page(F.col("record_id")).alias("page_id"), "record_type", page(F.col("refers_to")).alias("refers_to"), F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha1("payload")).alias("payload_digest"), F.col("content_length"))
+    full = r.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("content_length").alias("full")).dropDuplicates(["of"])
+    r = r.join(full, r["refers_to"] == full["of"], "left")
+    return r.select("page_id", F.coalesce("full", "content_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
@@ -50,9 +62,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS chief FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN m.chief <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.chief <> d.page_id THEN m.chief END AS refers_to
+FROM d LEFT JOIN m ON d.payload_bytes >= 1000 AND d.payload_digest = m.payload_digest
+""",
+}
