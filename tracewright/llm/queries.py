@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, linededup, minhash, toxicity, warc
+from tracewright.llm import byte_bpe, decontaminate, embeddings, linededup, minhash, repeats, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -55,6 +55,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_id", F.coalesce("full", "content_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
@@ -63,12 +71,32 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_repeated_passages": op4_repeated_passages,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT *, sqrt(list_dot_product(e, e)) AS len FROM v
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), pair AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, CAST((SELECT count(*) FROM pair p WHERE p.a = v.vec_id) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp USING (vec_id)
+""",
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
