@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, embeddings, linededup, minhash, repeats, toxicity, warc
+from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, repeats, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -63,6 +63,12 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languageid.fit(docs, docs.where(~held_out(4, 2)))
+    return languageid.predict(docs, model).select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_repeated_passages": op4_repeated_passages,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
