@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, repeats, toxicity, warc
+from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -59,6 +59,13 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (its label was not learned from), evidence, host_posterior, path_posterior, score, kept (score >= 0.5)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = quality.score(docs, table(spark, sf_dir, "labels").where(~held_out(5, 1)))
+    return out.select("doc_id", F.coalesce(held_out(5, 1), F.lit(False)).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_repeated_passages": op4_repeated_passages,
+    "op5_quality": op5_quality,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
@@ -86,6 +94,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_quality": op5_quality,
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
