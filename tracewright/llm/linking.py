@@ -1,9 +1,9 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
 Every member of a bucket is first paired with one hub of it. Confirmed pairs make components; only
-buckets that still hold several components go on, first with a few hubs drawn anew for each bucket;
-what then still is apart is dealt into blocks of bounded size, and block pairs compare signatures
-across components. Every pair of one bucket is thus either
+buckets that still hold several components go on: their members are dealt into blocks of bounded size,
+and block pairs compare signatures across components. Members of pairs that may be linked are dealt
+out once more with their contents, which block pairs compare in full. Every pair of one bucket is thus either
 inside one component already or looked at, whatever the bucket's size.
 """
 
@@ -20,11 +20,11 @@ from tracewright.llm.shared import components, cut
 
 #: Members of a block of a mixed bucket, on average.
 BLOCK = 256
-#: Members of a mixed bucket that all others of it are compared with.
-HUBS = 3
 
 Parse = Callable[[pa.Array], np.ndarray]
 Stay = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Whether each of one block's contents is linked with each of another's.
+Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
 
 
 def prune(pairs: DataFrame, parse: Parse, stay: Stay) -> DataFrame:
@@ -40,19 +40,21 @@ def prune(pairs: DataFrame, parse: Parse, stay: Stay) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def across(blocks: DataFrame, kind: str, parse: Parse, stay: Stay) -> DataFrame:
-    """Block pairs (same, x, y: arrays of (id, component, sig)) to the pairs of different components that stay."""
+def across(blocks: DataFrame, kind: str, parse: Parse, stay: Stay, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Block pairs (key, same, x, y: arrays of (id, component, sig)) to (key, id): members of the pairs of
+    different components that stay. A pair that shares several buckets counts in the first of them only."""
 
     def side(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = column.slice(r, 1).flatten()
-        ids, comp, sig = v.flatten()
+        ids, comp, sig = column.slice(r, 1).flatten().flatten()
         return ids.to_numpy(zero_copy_only=False), comp.to_numpy(zero_copy_only=False), parse(sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for r, same in enumerate(batch.column(0).to_pylist()):
-                (ia, ca, sa), (ib, cb, sb) = side(batch.column(1), r), side(batch.column(2), r)
+            for r, (key, same) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                (ia, ca, sa), (ib, cb, sb) = side(batch.column(2), r), side(batch.column(3), r)
+                ka, kb = keys(sa), keys(sb)
+                out: list[np.ndarray] = []
                 for lo in range(0, len(ia), 64):
                     la, lb = np.nonzero(ca[lo : lo + 64, None] != cb[None, :])
                     la += lo
@@ -60,21 +62,63 @@ def across(blocks: DataFrame, kind: str, parse: Parse, stay: Stay) -> DataFrame:
                         once = ia[la] < ib[lb]
                         la, lb = la[once], lb[once]
                     keep = stay(sa, sb, la, lb)
-                    if len(keep):
-                        p, q = ia[la[keep]], ib[lb[keep]]
-                        found.append((np.minimum(p, q), np.maximum(p, q)))
+                    la, lb = la[keep], lb[keep]
+                    first = (ka[la] == kb[lb]).argmax(1)
+                    here = ka[la, first] == key
+                    out += [ia[la[here]], ib[lb[here]]]
+                ids = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+                if len(ids):
+                    found.append((np.full(len(ids), key), ids))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["key", "id"])
+
+    return blocks.select("key", "same", "x", "y").mapInArrow(run, f"key long, id {kind}")
+
+
+def settle(blocks: DataFrame, kind: str, linked: Linked) -> DataFrame:
+    """Block pairs (same, x, y: arrays of (id, component, content)) to links (a, b) that join different
+    components: per block pair a forest of them, however many links there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for r in range(batch.num_rows):
+                (ia, ca, xa), (ib, cb, xb) = ((v.field(0).to_pylist(), v.field(1).to_pylist(), v.field(2).to_pylist()) for v in (batch.column(c).slice(r, 1).flatten() for c in (1, 2)))
+                over: dict = {}
+
+                def top(c, over=over):
+                    while (d := over.get(c, c)) != c:
+                        over[c] = over.get(d, d)
+                        c = d
+                    return c
+
+                i, j = np.nonzero(linked(xa, xb) & (np.array(ca)[:, None] != np.array(cb)[None, :]))
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    if (s := top(ca[p])) != (t := top(cb[q])):
+                        over[max(s, t)] = min(s, t)
+                        a.append(ia[p])
+                        b.append(ib[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return blocks.select("same", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def dealt(rows: DataFrame, size: int, what: str) -> DataFrame:
+    """rows (key, id, component, what) in blocks: every pair of a key's blocks, as (key, same, x, y)."""
+    n = rows.groupBy("key").agg(F.count("id").alias("n"))
+    rows = rows.join(cut(n, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)))
+    x = cut(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", what)).alias("x")), "blocks")
+    y = x.select("key", F.col("block").alias("block2"), F.col("x").alias("y"))
+    return x.join(y, "key").where("block <= block2").select("key", (F.col("block") == F.col("block2")).alias("same"), "x", "y")
+
+
+def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], linked: Linked) -> DataFrame:
     """(id, component) of the ids that have a link, by the smallest id reachable.
 
     keyed: (key, id) rows, one for each bucket that an id is in; sig: (id, sig) with distinct ids.
     parse turns a column of signatures into an array; stay gives the indices of the pairs that may be
-    linked; verify confirms pairs (a, b).
+    linked; keys gives the bucket keys of signatures; verify confirms pairs (a, b); contents gives (id, content) for
+    ids and linked compares the contents of two blocks.
     """
     kind = sig.schema["id"].dataType.simpleString()
     keyed = cut(keyed.select("key", "id"), "keyed")
@@ -83,32 +127,13 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, verify:
     buckets = cut(keyed.groupBy("key").agg(F.min(order)["id"].alias("hub"), F.count("id").alias("n")).where("n > 1"), "buckets")
     crowded = cut(keyed.join(buckets, "key"), "crowded")
     hubs = crowded.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    first = cut(prune(signed(hubs, sig), parse, stay), "survivors")
-    links = cut(verify(first), "links")
-    # Second look, at buckets of several components: members against hubs drawn anew for each bucket, if not of their component.
-    rows = crowded.where("n > 2").select("key", "id", "n")
-    of, mixed = several(rows, components(links, "a", "b"))
-    drawn = F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")
-    again = of.join(mixed, "key").select("id", "component", drawn).where("component != hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    second = cut(prune(signed(again.join(first, ["a", "b"], "left_anti"), sig), parse, stay), "survivors")
-    links = links.unionByName(cut(verify(second), "links"))
-    # Last, what is left: block pairs.
-    of, mixed = several(of.select("key", "id", "n"), components(links, "a", "b"))
-    dealt = of.join(mixed.select("key"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    dealt = cut(dealt.join(sig, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "sig")).alias("x")), "blocks")
-    other = dealt.select("key", F.col("block").alias("block2"), F.col("x").alias("y"))
-    pairs = dealt.join(other, "key").where("block <= block2").select((F.col("block") == F.col("block2")).alias("same"), "x", "y")
-    late = cut(across(pairs, kind, parse, stay).distinct().join(first.unionByName(second), ["a", "b"], "left_anti"), "late")
-    return components(links.unionByName(verify(late)), "a", "b")
-
-
-def signed(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    return pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-
-
-def several(rows: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (key, id, n) with their component; the keys that hold several components, each with HUBS members drawn by a hash."""
-    of = cut(rows.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "of")
-    hubs = [F.min(F.struct(F.xxhash64("id", "key", F.lit(i)).alias("p"), "id", "component")).alias(f"hub{i}") for i in range(HUBS)]
-    mixed = of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), *hubs).where("c1 != c2")
-    return of, cut(mixed.drop("c1", "c2"), "mixed")
+    hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    links = cut(verify(cut(prune(hubs, parse, stay), "survivors")), "links")
+    # Two members were compared as a hub's pair; larger buckets of several components go on.
+    of = cut(crowded.where("n > 2").join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
+    mixed = cut(of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "mixed")
+    maybe = across(dealt(of.join(mixed, "key").join(sig, "id"), BLOCK, "sig"), kind, parse, stay, keys)
+    maybe = cut(maybe.distinct().join(of, ["key", "id"]), "maybe")
+    full = contents(maybe.select("id").distinct())
+    late = settle(dealt(maybe.join(full, "id"), BLOCK, "content"), kind, linked)
+    return components(links.unionByName(cut(late, "links")), "a", "b")

@@ -8,7 +8,8 @@
    prior, binomial likelihood) decides: once P(similarity >= threshold) falls below `miss`, the pair
    goes. Survivors are verified on their full sets, exactly.
 4. Confirmed links make components. Buckets that still hold several components are dealt out in
-   blocks of rows, and block pairs compare across components only; what survives is verified, too.
+   blocks of rows, and block pairs compare across components only; what survives is verified on full
+   sets, block against block.
    So no link is lost but with the stated probability of the bands and of the pruning, and a group of
    near copies that has already come together costs nothing more.
 
@@ -102,16 +103,22 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__t")).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, sig binary")
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each signature."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(U)
+    h = np.zeros(sig.shape[:2], U) + np.arange(BANDS, dtype=U)
+    for r in range(ROWS):
+        h = mix(h * U(0x9FB21C651E98DF25) + sig[:, :, r])
+    return h.view(np.int64)
+
+
 def banded(reps: DataFrame) -> DataFrame:
     """(key, id): a row for each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U)
-            h = np.zeros(sig.shape[:2], U) + np.arange(BANDS, dtype=U)
-            for r in range(ROWS):
-                h = mix(h * U(0x9FB21C651E98DF25) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["key", "id"])
+            h = band_keys(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(len(h)), BANDS)))], names=["key", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, f"key long, id {reps.schema['id'].dataType.simpleString()}")
 
@@ -152,34 +159,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; docs: (id, text) of distinct ids."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, content): the full sets of the documents (id, text) of distinct ids that ids names, as bytes in order."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1)):
                 s, at = shingles(data, off, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "content"])
+
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {ids.schema['id'].dataType.simpleString()}, content binary")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    full = cut(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, s binary"), "sets")
-    joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    full = cut(full_sets(ids, docs, size), "sets")
+    joined = pairs.join(full.select(F.col("id").alias("a"), F.col("content").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("content").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def linked_sets(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """By row of x and column of y: whether 100 * intersection >= percent * union. Counts by products of incidence matrices."""
+    sets = [np.frombuffer(s, U) for s in x + y]
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[col] > 1
+    row, col = row[several], np.unique(col[several], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1
+        common += m[: len(x)] @ m[len(x) :].T
+    return 100 * common >= percent * (n[: len(x), None] + n[None, len(x) :] - common)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id linked through others) and kept.
 
@@ -193,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reps = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
     source = docs.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
     stay = partial(survivors, threshold=threshold, miss=miss)
-    comp = connect(banded(reps), reps.select("id", "sig"), _matrix, stay, lambda pairs: verify(pairs, source, shingle_words, percent)).select(F.col("id").alias("rep"), "component")
+    comp = connect(banded(reps), reps.select("id", "sig"), _matrix, stay, band_keys, lambda pairs: verify(pairs, source, shingle_words, percent), lambda ids: full_sets(ids, source, shingle_words), partial(linked_sets, percent=percent)).select(F.col("id").alias("rep"), "component")
     member = reps.select("d1", "d2", F.col("id").alias("rep")).join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     found = sketched.join(member, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("id"))
