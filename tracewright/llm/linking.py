@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import components, cut
+from tracewright.llm.shared import components, cut, discard
 
 #: Members of a block of a mixed bucket, on average.
 BLOCK = 256
@@ -122,18 +122,20 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
     """
     kind = sig.schema["id"].dataType.simpleString()
     keyed = cut(keyed.select("key", "id"), "keyed")
-    # The hub is the member whose mixed id is least: the same one in all buckets of a small group.
-    order = F.struct(F.xxhash64("id").alias("p"), F.col("id"))
-    buckets = cut(keyed.groupBy("key").agg(F.min(order)["id"].alias("hub"), F.count("id").alias("n")).where("n > 1"), "buckets")
-    crowded = cut(keyed.join(buckets, "key"), "crowded")
-    hubs = crowded.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    # The hub is the least member: the same one in all buckets of a small group.
+    buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("id").alias("n")).where("n > 1"), "buckets")
+    crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key"), "crowded")
+    hubs = crowded.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2 and hub != top").select(F.col("hub").alias("a"), F.col("top").alias("b"))).distinct()
     hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     links = cut(verify(cut(prune(hubs, parse, stay), "survivors")), "links")
     # Two members were compared as a hub's pair; larger buckets of several components go on.
-    of = cut(crowded.where("n > 2").join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
+    of = cut(crowded.join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
+    discard(keyed, buckets, crowded)
     mixed = cut(of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "mixed")
     maybe = across(dealt(of.join(mixed, "key").join(sig, "id"), BLOCK, "sig"), kind, parse, stay, keys)
     maybe = cut(maybe.distinct().join(of, ["key", "id"]), "maybe")
     full = contents(maybe.select("id").distinct())
     late = settle(dealt(maybe.join(full, "id"), BLOCK, "content"), kind, linked)
-    return components(links.unionByName(cut(late, "links")), "a", "b")
+    late = cut(late, "links")
+    discard(of, mixed, maybe)
+    return components(links.unionByName(late), "a", "b")

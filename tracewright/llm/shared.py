@@ -21,14 +21,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, so that its lineage ends here."""
+    """Write df as a Parquet table in the shared folder and read it back, so that its lineage ends here.
+
+    The shuffle files of the write go with its end: nothing reads them again.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once all that was made of them is written, too."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges as (id, component): the smallest id reachable.
 
@@ -45,7 +66,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         own = least.select("u", F.col("m").alias("v"))
-        e = cut(star.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct(), "cc")
+        last, e = e, cut(star.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct(), "cc")
+        discard(last)
         # Stars already: every node has one edge down, to a node that has none.
         down = e.groupBy("u").agg(F.count("v").alias("n"))
         if down.where("n > 1").isEmpty() and e.join(down.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
