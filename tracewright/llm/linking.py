@@ -23,8 +23,8 @@ BLOCK = 256
 
 Parse = Callable[[pa.Array], np.ndarray]
 Stay = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: Whether each of one block's contents is linked with each of another's.
-Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: Of the contents of two blocks and a mask of pairs: the pairs that are, or may be, linked, and what confirms one (None: all are).
+Linked = Callable[[list[bytes], list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, Callable[[int, int], bool] | None]]
 
 
 def prune(pairs: DataFrame, parse: Parse, stay: Stay) -> DataFrame:
@@ -92,9 +92,9 @@ def settle(blocks: DataFrame, kind: str, linked: Linked) -> DataFrame:
                         c = d
                     return c
 
-                i, j = np.nonzero(linked(xa, xb) & (np.array(ca)[:, None] != np.array(cb)[None, :]))
+                i, j, confirm = linked(xa, xb, np.array(ca)[:, None] != np.array(cb)[None, :])
                 for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if (s := top(ca[p])) != (t := top(cb[q])):
+                    if (s := top(ca[p])) != (t := top(cb[q])) and (confirm is None or confirm(p, q)):
                         over[max(s, t)] = min(s, t)
                         a.append(ia[p])
                         b.append(ib[q])

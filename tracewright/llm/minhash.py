@@ -192,8 +192,8 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def linked_sets(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
-    """By row of x and column of y: whether 100 * intersection >= percent * union. Counts by products of incidence matrices."""
+def linked_sets(x: list[bytes], y: list[bytes], mask: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, None]:
+    """The pairs of the mask with 100 * intersection >= percent * union. Counts by products of incidence matrices."""
     sets = [np.frombuffer(s, U) for s in x + y]
     n = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), n)
@@ -208,7 +208,7 @@ def linked_sets(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
         m = np.zeros((len(sets), 4096), np.float32)
         m[row[a:b], col[a:b] - lo] = 1
         common += m[: len(x)] @ m[len(x) :].T
-    return 100 * common >= percent * (n[: len(x), None] + n[None, len(x) :] - common)
+    return *np.nonzero(mask & (100 * common >= percent * (n[: len(x), None] + n[None, len(x) :] - common))), None
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
