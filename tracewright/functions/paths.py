@@ -46,7 +46,7 @@ def normalise(path: Column) -> Column:
 
 
 def import_base(source: Column, specifier: Column) -> Column:
-    return normalise(F.when(specifier.startswith("/"), specifier).otherwise(F.concat_ws("/", parent(source), specifier)))
+    return normalise(F.when(specifier.startswith("/") | (parent(source) == ""), specifier).otherwise(F.concat_ws("/", parent(source), specifier)))
 
 
 def import_candidates(source: Column, specifier: Column) -> Column:

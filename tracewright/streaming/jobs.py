@@ -30,12 +30,12 @@ def append_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str
 
 
 def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], at: str, tie: str) -> StreamingQuery:
-    """Keep the last row of each key: every batch writes a new version below root/v=<batch>; the newest one is the table."""
+    """Keep the last row of each key: every batch writes a new version below root/__version=<batch>; the newest one is the table."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = existing(spark, f"{root}/v={number - 1}", batch)
-        upsert_latest(before, batch, keys, at, tie).write.mode("overwrite").parquet(f"{root}/v={number}")
+        before = existing(spark, f"{root}/__version={number - 1}", batch)
+        upsert_latest(before, batch, keys, at, tie).write.mode("overwrite").parquet(f"{root}/__version={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -43,8 +43,8 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str]
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
     """The table that upsert_stream() last wrote."""
     table = spark.read.parquet(root)
-    last = table.agg(F.max("v")).first()[0]
-    return table.where(F.col("v") == last).drop("v")
+    last = table.agg(F.max("__version")).first()[0]
+    return table.where(F.col("__version") == last).drop("__version")
 
 
 def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -57,10 +57,11 @@ def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.createDataFrame([], like.schema)
 
 
-def first_writes(stream: DataFrame, key: str, fingerprint: str, resource: str, retention_ms: int) -> DataFrame:
+def first_writes(stream: DataFrame, key: str, fingerprint: str, resource: str, retention_ms: int | None = None) -> DataFrame:
     """key, resource, outcome of each request: created, replayed (the first resource comes back) or conflict.
 
-    State holds the first fingerprint and resource of a key until it has been idle for retention_ms.
+    State holds the first fingerprint and resource of a key, for good or until it has been idle for
+    retention_ms; with that, a stream has to run on (it never is done under availableNow).
     """
 
     def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,10 +79,11 @@ def first_writes(stream: DataFrame, key: str, fingerprint: str, resource: str, r
                     rows.append((keys[0], first[1], "replayed" if first[0] == str(fp) else "conflict"))
             yield pd.DataFrame(rows, columns=["key", "resource", "outcome"])
         state.update(first)
-        state.setTimeoutDuration(retention_ms)
+        if retention_ms:
+            state.setTimeoutDuration(retention_ms)
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, resource string, outcome string", "fingerprint string, resource string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, resource string, outcome string", "fingerprint string, resource string", "append", GroupStateTimeout.ProcessingTimeTimeout if retention_ms else GroupStateTimeout.NoTimeout)
 
 
 def admit_stream(stream: DataFrame, key: str, at: str, event: str, limit: int, seconds: float = 60.0) -> DataFrame:
