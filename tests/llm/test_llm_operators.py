@@ -208,6 +208,55 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def edited(rng, line):
+    """line with words replaced, or characters changed, within an edit similarity of 0.9."""
+    while True:
+        if rng.random() < 0.5:
+            w = line.split()
+            for _ in range(rng.randint(1, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            x = " ".join(w)
+        else:
+            x = list(line)
+            for _ in range(rng.randint(1, max(1, len(line) // 25))):
+                x[rng.randrange(1, len(x) - 1)] = rng.choice("abcxyz")
+            x = "".join(x)
+        most = int(0.1 * max(len(x), len(line)) + 1e-9)
+        if x != line and linededup.distance(line, x, most) <= most:
+            return x
+
+
+def deduplicated(texts, least=1):
+    """Brute force over all pairs of lines of `least` words and more: what is left of each text, and the number of linked pairs."""
+    norm = lambda x: " ".join(x.lower().split())
+    at = [(i, k, norm(x)) for i, t in texts for k, x in enumerate((t or "").split("\n")) if len(norm(x).split()) >= least]
+    lines = sorted({x for _, _, x in at})
+    most = lambda a, b: int(0.1 * max(len(a), len(b)) + 1e-9)
+    links = [(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= most(a, b) and linededup.distance(a, b, most(a, b)) <= most(a, b)]
+    of = groups(links, lines)
+    first = {}
+    for i, k, x in sorted(at):
+        first.setdefault(of[x], (i, k))
+    gone = {(i, k) for i, k, x in at if first[of[x]] != (i, k)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts}, len(links)
+
+
+def line_texts():
+    rng = random.Random(8)
+    base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (5, 6, 7, 8, 10, 15, 20, 20, 30, 50, 50, 120) for _ in range(4)]
+    lines = [x for b in base for x in (b, edited(rng, b), edited(rng, edited(rng, b)), b.upper())]
+    lines += [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 60))) for _ in range(60)]
+    rng.shuffle(lines)
+    return [(i, "\n".join(lines[k : k + 5])) for i, k in enumerate(range(0, len(lines), 5))] + [(900, None), (901, "")]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    texts = line_texts()
+    want, links = deduplicated(texts, 5)
+    assert links > 100
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()} == want
+
+
 def test_decontamination(spark):
     item = " ".join(WORDS[:30])
     other = " ".join(WORDS[100:118])
