@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, toxicity, warc
+import corpus_pipeline
+from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, queries, repeats, toxicity, warc
 
 DOC = "doc_id long, text string, component_id string, spans int, kept string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -257,6 +258,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()} == want
 
 
+def test_op9_and_pipeline_remove_short_lines(spark, tmp_path):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(30))
+    texts = [(1, f"les.\n{han}\nall rights reserved."), (2, f"own one\nles.\n\nAll  rights reserved."), (3, f"{han}\nown two\n{han[:20]}x{han[21:]}")]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: texts[0][1], 2: "own one\n", 3: "own two"}
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, queries.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()} == want
+
+
 def test_decontamination(spark):
     item = " ".join(WORDS[:30])
     other = " ".join(WORDS[100:118])

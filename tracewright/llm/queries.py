@@ -35,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of the text that stays."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
