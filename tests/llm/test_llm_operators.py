@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -115,6 +116,36 @@ def test_warc_round_trip_over_small_ranges(spark, tmp_path):
     assert got == {r[0]: r[5] for r in rows}
 
 
+#: A record's member, found by search: 1F 8B 08 is at byte 50, within the code lengths, before any content comes out.
+EARLY = base64.b64decode("H4sIAAAAAAAAA0WO4UuDQBjGvwv+D4duLWS3O42ZXtMVnoulQYhrEFEc89LAdHg3mEEfiwj6n7MygufDw48fz/uuz5IAmROsKuuuwbTdcgIaLrZ1JXgPE76pmwwuKQEzzpqy9f9s1uRcwlWyJGDXM8pkt2C6xxhis0uKMfnJTS9csbasWQbpY86FJEAUzCR7VQnqSvJKwphXuSwIcO1/9vuW5HuJCvlUnoBNwRrBpbeTD9BRFVWxUIxgGIcf0Jjr2ugieLWPrnX9MPBERN9GB6Y7vSX2vaYNw/lzRN9nTobhwnO4hSLbSseG3y0MBxM0pgPdsK3V+elLJ5Dpne8Wl4vP7xtfTthqsSwBAAA=")
+
+
+def test_warc_magic_before_content(spark, tmp_path):
+    assert EARLY.find(warc.MAGIC, 3) == 50 and zlib.decompressobj(31).decompress(EARLY[:50]) == b""
+    # Another writer's member: the magic bytes are in the header's extra field and in its time.
+    other = zlib.compressobj(6, zlib.DEFLATED, -15)
+    content = warc.record("extra", "response", "u", None, "x", b"p" * 700)
+    extra = warc.MAGIC + b"\x04" + warc.MAGIC + b"\x00\x00\x03" + b"\x05\x00" + b"a" + warc.MAGIC + b"b" + other.compress(content) + other.flush()
+    extra += zlib.crc32(content).to_bytes(4, "little") + len(content).to_bytes(4, "little")
+    rows = [warc.member(warc.record(f"r{i}", "response", "u", None, "x", hashlib.sha512(b"%d" % i).digest() * (1 + i % 7))) for i in range(12)]
+    # A truncated member and a start that is none go before good ones.
+    data = EARLY + rows[0] + EARLY + extra + rows[1][:70] + rows[2] + EARLY[:20] + rows[3] + warc.MAGIC * 2 + b"".join(rows[4:]) + EARLY + extra
+    want = sorted(["early"] * 3 + ["extra"] * 2 + [f"r{i}" for i in range(12) if i != 1])
+    whole = [m["record_id"] for k, m in warc.assemble(iter(data[3:].split(warc.MAGIC)), True, True) if k == "record"]
+    assert sorted(whole) == want
+    path = tmp_path / "a.warc"
+    path.write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (40, 61, 97, 333, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(r.record_id for r in warc.records(spark, str(path)).collect()) == want, size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_warc_revisits(spark, tmp_path):
     long, short = "é" * 600, "x" * 999
     pages = spark.createDataFrame([(1, "http://a", long, 7), (5, "http://b", long, 7), (3, None, long, 7), (2, "u", short, 7), (4, "u", short, 7), (6, "u\nv", None, 7)], "page_id long, url string, html string, payload int")

@@ -71,11 +71,12 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def inflate(piece: bytes) -> tuple[str, bytes]:
-    """("good", content), ("short", b"") if the member goes on after the piece, or ("bad", b"").
+    """("good", content), ("short", b"") if the member goes on after the piece, ("unsure", b"") if it may, as it
+    ends before the version line does, or ("bad", b"").
 
     piece: bytes that begin with MAGIC.
     """
-    if len(piece) < 10 or piece[3] & 0xE0:
+    if len(piece) > 3 and piece[3] & 0xE0:
         return "bad", b""
     z = zlib.decompressobj(31)
     parts = []
@@ -90,8 +91,9 @@ def inflate(piece: bytes) -> tuple[str, bytes]:
     content = b"".join(parts)
     if z.eof:
         return "good", content
-    # Before any content there is no telling a header's fields from data that look like one.
-    return ("short" if content[: len(VERSION)] == VERSION else "bad"), b""
+    # Before any content there is no telling a header's fields from data that look like one: only the next pieces tell.
+    first = content[: len(VERSION)]
+    return ("short" if first == VERSION else "unsure" if VERSION.startswith(first) else "bad"), b""
 
 
 def parse(content: bytes) -> dict | None:
@@ -116,34 +118,58 @@ def assemble(pieces: Iterator[bytes], at_start: bool, at_end: bool) -> Iterator[
 
     pieces: what lies between magic numbers, in order. at_start, at_end: the pieces begin or end with the file.
     """
-    held: bytes | None = None  # a member that has not ended
+    held: list[bytes] = []  # the pieces of a member that has not ended
+    sure = False  # whether they hold a version line
     head = not at_start
-    for piece in pieces:
-        one = MAGIC + piece
+    pieces = iter(pieces)
+    todo: list[bytes] = []  # pieces to look at (again), the next one last
+    while True:
+        if todo:
+            one = todo.pop()
+        elif (piece := next(pieces, None)) is not None:
+            one = MAGIC + piece
+        elif held and not sure and at_end:
+            # No start after all: what was held behind it has its turn.
+            if head:
+                yield "head", held[0]
+            todo, held = held[:0:-1], []
+            continue
+        else:
+            break
         # Within a member that goes on, the magic bytes may be data; taken as a start they must give a whole member.
         state, content = inflate(one)
-        if held is not None:
-            joined = inflate(held + one)
+        if held:
+            joined = inflate(b"".join(held) + one)
             if joined[0] == "good":
-                held = None
+                held, head = [], False
                 if made := parse(joined[1]):
                     yield "record", made
                 continue
-            if joined[0] == "short" and state != "good":
-                held += one
+            if joined[0] in ("short", "unsure") and state != "good":
+                held.append(one)
+                if joined[0] == "short":
+                    sure, head = True, False
+                continue
+            if not sure:  # no start: data of a member before it, or damaged
+                if head:
+                    yield "head", held[0]
+                todo += [one, *held[:0:-1]]
+                held = []
                 continue
-            held = None  # damaged: it ends here
+            held = []  # damaged: it ends here
         if state == "good":
             head = False
             if made := parse(content):
                 yield "record", made
-        elif state == "short":
-            head = False
-            held = one
+        elif state in ("short", "unsure"):
+            held, sure = [one], state == "short"
+            head = head and not sure
         elif head:
             yield "head", one
-    if held is not None and not at_end:
-        yield "tail", held
+    if held and not at_end:
+        # Whether an unsure start belongs to a member before the range is settled with the fragments before it.
+        for k, x in enumerate(held):
+            yield "head" if head or k else "tail", x
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +232,7 @@ def records(spark: SparkSession, path: str, found: DataFrame | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [m for x in batch.column(0).to_pylist() if (s := inflate(b"".join(p["rest"] for p in x)))[0] == "good" and (m := parse(s[1]))]
+            good = [m for x in batch.column(0).to_pylist() for _, m in assemble((p["rest"][len(MAGIC) :] for p in x), True, True)]
             yield pa.RecordBatch.from_pylist(good, schema=pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORD.split(", "))]))
 
     return whole.unionByName(joined.select("x").mapInArrow(run, RECORD))
