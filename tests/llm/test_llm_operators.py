@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, queries, repeats, toxicity, warc
+from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, queries, repeats, shared, toxicity, warc
 
 DOC = "doc_id long, text string, component_id string, spans int, kept string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -299,6 +299,13 @@ def test_op9_and_pipeline_remove_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, queries.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()} == want
 
 
+def test_components_settle_or_fail(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in shared.components(path, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        shared.components(path, "a", "b", max_rounds=1)
+
+
 def test_decontamination(spark):
     item = " ".join(WORDS[:30])
     other = " ".join(WORDS[100:118])

@@ -55,7 +55,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Alternates the large-star and small-star steps until the edge set stops changing; every step is
     an aggregation and an equi-join, so a node of any degree is spread over tasks. Only nodes that
-    have an edge appear. Null ends and self-loops are dropped.
+    have an edge appear. Null ends and self-loops are dropped. It is an error if max_rounds do not do.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -72,5 +72,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         down = e.groupBy("u").agg(F.count("v").alias("n"))
         if down.where("n > 1").isEmpty() and e.join(down.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
