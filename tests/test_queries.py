@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tracewright.plans import queries
 from tracewright.plans.queries import QUERIES
 from tracewright.plans.sql import SQL
 
@@ -47,3 +48,9 @@ def test_entry(spark):
 def test_no_nested_loops(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_citation_check_sees_the_whole_answer(spark, data, monkeypatch):
+    answers = spark.createDataFrame([(2, "x" * 6000, [1]), (4, "x" * 6001, [1])], "query_id long, answer string, evidence array<long>")
+    monkeypatch.setattr(queries, "grounded", lambda spark, d: answers)
+    assert {r.conv_id: r.valid for r in queries.citation_check(spark, data).collect()} == {2: True, 4: False}
