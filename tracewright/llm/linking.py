@@ -115,13 +115,13 @@ def dealt(rows: DataFrame, size: int, what: str) -> DataFrame:
 def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], linked: Linked) -> DataFrame:
     """(id, component) of the ids that have a link, by the smallest id reachable.
 
-    keyed: (key, id) rows, one for each bucket that an id is in; sig: (id, sig) with distinct ids.
+    keyed: (key, id) rows, one for each bucket that an id is in, cheap to make twice; sig: (id, sig) with distinct ids.
     parse turns a column of signatures into an array; stay gives the indices of the pairs that may be
     linked; keys gives the bucket keys of signatures; verify confirms pairs (a, b); contents gives (id, content) for
     ids and linked compares the contents of two blocks.
     """
     kind = sig.schema["id"].dataType.simpleString()
-    keyed = cut(keyed.select("key", "id"), "keyed")
+    keyed = keyed.select("key", "id")
     # The hub is the least member: the same one in all buckets of a small group.
     buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("id").alias("n")).where("n > 1"), "buckets")
     crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key"), "crowded")
@@ -130,7 +130,7 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
     links = cut(verify(cut(prune(hubs, parse, stay), "survivors")), "links")
     # Two members were compared as a hub's pair; larger buckets of several components go on.
     of = cut(crowded.join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
-    discard(keyed, buckets, crowded)
+    discard(buckets, crowded)
     mixed = cut(of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "mixed")
     maybe = across(dealt(of.join(mixed, "key").join(sig, "id"), BLOCK, "sig"), kind, parse, stay, keys)
     maybe = cut(maybe.distinct().join(of, ["key", "id"]), "maybe")
