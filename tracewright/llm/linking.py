@@ -117,7 +117,7 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
 
     keyed: (key, id) rows, one for each bucket that an id is in, cheap to make twice; sig: (id, sig) with distinct ids.
     parse turns a column of signatures into an array; stay gives the indices of the pairs that may be
-    linked; keys gives the bucket keys of signatures; verify confirms pairs (a, b); contents gives (id, content) for
+    linked; keys gives the bucket keys of signatures; verify confirms pairs (a, b) and writes them; contents gives (id, content) for
     ids and linked compares the contents of two blocks.
     """
     kind = sig.schema["id"].dataType.simpleString()
@@ -127,7 +127,9 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
     crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key"), "crowded")
     hubs = crowded.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2 and hub != top").select(F.col("hub").alias("a"), F.col("top").alias("b"))).distinct()
     hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    links = cut(verify(cut(prune(hubs, parse, stay), "survivors")), "links")
+    pairs = cut(prune(hubs, parse, stay), "survivors")
+    links = verify(pairs)
+    discard(pairs)
     # Two members were compared as a hub's pair; larger buckets of several components go on.
     of = cut(crowded.join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
     discard(buckets, crowded)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.linking import connect
-from tracewright.llm.shared import cut
+from tracewright.llm.shared import cut, discard
 from tracewright.llm.textarrays import U, chunks, mix, prefix_hash, span_hash, words
 
 BANDS, ROWS = 24, 4
@@ -189,7 +189,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
     full = cut(full_sets(ids, docs, size), "sets")
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("content").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("content").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    links = cut(joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    discard(full)
+    return links
 
 
 def linked_sets(x: list[bytes], y: list[bytes], mask: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, None]:

@@ -4,23 +4,25 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 
 Dealing out. Each window of `length` bytes picks its least-hashed k-gram as anchor, so equal windows
 pick equal anchors at equal places, in whichever document. Runs of windows with one anchor make a
-segment (at most 2 * length - k bytes and less). Anchors met in one document only are settled by a
-count; segments of the others are made distinct (with the smallest document id that holds them) and
+segment (at most 2 * length - k bytes and less). A window holds, beside its anchor, half of the other bytes at least
+on one side of it; so a segment goes on only if another document has the same anchor with the same half window to its left, or
+to its right (`repeated`). Segments that go on are made distinct (with the smallest document id that holds them) and
 dealt to index parts by their anchor: all equal windows meet in one part.
 
 Index part. The part's segments, each with a terminator, are suffix-sorted; their BWT is kept as runs
 (head, start, LF start). Runs are also cut where the first `length` bytes of the sorted suffixes
-change, so that the rows of one string are whole runs; each run carries the smallest document of its
-string and, at its end, a sampled suffix position. Matching: every segment is streamed backward
-through the runs by LF steps, all segments of a part at once; a step that is at least `length` from
-the segment's end is a full match and reads the smallest document from its run.
+change, so that the rows of one string are whole runs. The sample that a run keeps is the smallest document of its rows
+(not the position at its end: a document is all that is asked for), and a string's is the smallest of its runs.
+Matching: every segment is streamed backward through the runs by LF steps, all segments of a part at once; a step that
+is at least `length` from the segment's end is a full match and reads its string's document.
 
 Marking. Segments take the answers back to their occurrences; windows whose smallest document is
 smaller than their own become spans, which are united per document.
 
 Defined results: null texts count as empty. Rows of one id are one document to each other: neither is
 smaller. Rows with a null id neither lose bytes nor count as a source. Equal texts are settled by
-their digest: all but those of the smallest id go whole (if they have `length` bytes). Extra columns are not read.
+their digest: all but those of the smallest id go whole (if they have `length` bytes). Extra columns are not read;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import cut
+from tracewright.llm.shared import cut, discard
 from tracewright.llm.textarrays import U, chunks, mix, powers, prefix_hash, span_hash
 
 K = 16
@@ -43,8 +45,8 @@ PART = 10_000
 SLICE = 1 << 20
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, windows, anchor hash): the segments of each row; start is within data."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, windows, anchor, its hash): the segments of each row; start and anchor are places in data."""
     w = length - K + 1
     out = []
     for a in range(0, max(0, len(data) - length + 1), SLICE):
@@ -67,38 +69,111 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         first = np.ones(len(at), bool)
         first[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(first)
-        out.append((row[begin], at[begin], np.diff(np.append(begin, len(at))), h[pick[begin]]))
+        out.append((row[begin], at[begin], np.diff(np.append(begin, len(at))), pick[begin] + a, h[pick[begin]]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def anchored(texts: DataFrame, length: int, places: bool) -> DataFrame:
-    """(h, doc) or, with places, (h, doc, start, windows) of all segments of texts (doc, text)."""
+def anchored(texts: DataFrame, length: int) -> DataFrame:
+    """(h, doc, place, sides) of all segments of texts (doc, ord, text).
+
+    place: ord, start and number of windows in one number. sides: 32 bits each of the anchor with half a window to its
+    left and to its right; where the text ends before that, the place itself, which nothing else has.
+    """
+    half = (length - K + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in chunks(batch.column(1)):
-                row, start, windows, h = anchors(data, off, length)
-                cols = [pa.array(h.view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row))]
-                if places:
-                    cols += [pa.array((start - off[row]).astype(np.int64)), pa.array(windows.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "start", "windows"][: len(cols)])
+            order = batch.column(1).to_numpy().astype(np.int64)
+            for lo, hi, data, off in chunks(batch.column(2)):
+                row, start, windows, at, h = anchors(data, off, length)
+                s = prefix_hash(data)
+                alone = mix(h + at.astype(U))
+                left, right = at - half, at + K + half
+                inside = left >= off[row], right <= off[row + 1]
+                sides = [np.where(i, span_hash(s, np.where(i, x, at), np.where(i, y, at)), alone) for i, x, y in ((inside[0], left, at + K), (inside[1], at, right))]
+                both = sides[0] >> U(32) << U(32) | sides[1] >> U(32)
+                place = order[lo:hi][row] << 40 | (start - off[row]) << 8 | windows
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(place), pa.array(both.view(np.int64))], names=["h", "doc", "place", "sides"])
+
+    return texts.select("doc", "ord", "text").mapInArrow(run, "h long, doc long, place long, sides long")
+
+
+#: Rows of one anchor that are looked at together; a larger group is handed on as it is.
+GROUP = 1 << 21
+
+
+def in_several(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which rows agree in all keys with a row of another document."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(doc), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(new)
+    d = doc[order]
+    out = np.empty(len(doc), bool)
+    out[order] = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[np.cumsum(new) - 1]
+    return out
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Rows of anchored() to (h, doc, place): those whose anchor and one side another document has, too (and perhaps some more)."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        h, doc, place, sides = (t[c].to_numpy() for c in ("h", "doc", "place", "sides"))
+        some = np.flatnonzero(in_several(doc, h)) if len(h) else np.zeros(0, np.int64)
+        if len(some):
+            h, doc, place, sides = h[some], doc[some], place[some], sides[some]
+            keep = in_several(doc, sides >> 32, h) | in_several(doc, sides & 0xFFFFFFFF, h)
+            h, doc, place = h[keep], doc[keep], place[keep]
+        else:
+            h, doc, place = h[:0], doc[:0], place[:0]
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place)], names=["h", "doc", "place"])
 
-    kind = texts.schema["doc"].dataType.simpleString()
-    return texts.select("doc", "text").mapInArrow(run, f"h long, doc {kind}" + ", start long, windows int" * places)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, large = 0, None
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            if large is not None:
+                more = int(np.searchsorted(h, large, "right"))
+                yield batch.slice(0, more).select(["h", "doc", "place"])
+                if more == len(h):
+                    continue
+                batch, h, large = batch.slice(more), h[more:], None
+            held.append(batch)
+            n += len(h)
+            if n < GROUP // 8:
+                continue
+            t = pa.Table.from_batches(held)
+            h = t["h"].to_numpy()
+            last = int(np.searchsorted(h, h[-1], "left"))
+            if last:
+                yield solve(t.slice(0, last))
+            held, n = t.slice(last).to_batches(), len(h) - last
+            if n >= GROUP:
+                large = h[-1]
+                yield from (x.select(["h", "doc", "place"]) for x in held)
+                held, n = [], 0
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, doc long, place long")
 
 
 def segments(texts: DataFrame, length: int) -> DataFrame:
-    """(s1, s2, h, doc, start, windows, seg): texts (doc, text, at: array of (start, windows, h)) to the segments named in at."""
+    """(s1, s2, h, doc, ord, start, windows, seg): texts (doc, ord, text, at: array of (place, h)) to the segments named in at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            for lo, hi, data, off in chunks(batch.column(1)):
+            lists = batch.column(3)
+            for lo, hi, data, off in chunks(batch.column(2)):
                 part = lists.slice(lo, hi - lo)
                 n = np.diff(part.offsets.to_numpy())
-                start, windows, h = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                place, h = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                start, windows = place >> 8 & 0xFFFFFFFF, (place & 255).astype(np.int32)
                 row = np.repeat(np.arange(hi - lo), n)
                 begin = off[row] + start
                 end = begin + windows + length - 1
@@ -106,10 +181,9 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 s1 = span_hash(s, begin, end)
                 s2 = mix(s1 ^ span_hash(s, begin, begin + length) * U(0x9FB21C651E98DF25) ^ span_hash(s, end - length, end))
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(h), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(start), pa.array(windows), pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["s1", "s2", "h", "doc", "start", "windows", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(h), *(batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in (0, 1)), pa.array(start), pa.array(windows), pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["s1", "s2", "h", "doc", "ord", "start", "windows", "seg"])
 
-    kind = texts.schema["doc"].dataType.simpleString()
-    return texts.select("doc", "text", "at").mapInArrow(run, f"s1 long, s2 long, h long, doc {kind}, start long, windows int, seg binary")
+    return texts.select("doc", "ord", "text", "at").mapInArrow(run, "s1 long, s2 long, h long, doc long, ord int, start long, windows int, seg binary")
 
 
 class RunIndex:
@@ -142,15 +216,14 @@ class RunIndex:
         string[full] = span_hash(s, order[full], order[full] + length)
         fresh = np.ones(n, bool)
         fresh[1:] = (string[1:] != string[:-1]) | (full[1:] != full[:-1])
-        group = np.flatnonzero(fresh)
-        least = np.minimum.reduceat(doc[owner[order]], group)
         cut_ = fresh.copy()
         cut_[1:] |= before[1:] != before[:-1]
         self.start = np.flatnonzero(cut_)
         self.head = before[self.start]
         lengths = np.diff(np.append(self.start, n))
-        self.run_end = order[self.start + lengths - 1]
-        self.least = least[np.searchsorted(group, self.start, "right") - 1]
+        sample = np.minimum.reduceat(doc[owner[order]], self.start)
+        group = np.flatnonzero(fresh[self.start])
+        self.least = np.minimum.reduceat(sample, group)[np.cumsum(fresh[self.start]) - 1]
         by_head = np.argsort(self.head, kind="stable")
         self.lf = np.empty(len(self.start), np.int64)
         self.lf[by_head] = np.cumsum(lengths[by_head]) - lengths[by_head]
@@ -187,12 +260,12 @@ def index_part(distinct: pa.Table, length: int) -> pa.Table:
 
 
 def marked(found: DataFrame) -> DataFrame:
-    """(doc, start, windows, marks) to (doc, a, b): the windows a..b-1 that also start in a smaller document."""
+    """(doc, ord, start, windows, marks) to (doc, ord, a, b): the windows a..b-1 that also start in a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, windows = (batch.column(i).to_numpy() for i in range(3))
-            raw = batch.column(3)
+            doc, order, start, windows = (batch.column(i).to_numpy() for i in range(4))
+            raw = batch.column(4)
             n = np.array([len(x.as_buffer()) // 16 for x in raw], np.int64)
             pairs = np.frombuffer(b"".join(raw.to_pylist()), np.int64).reshape(-1, 2)
             row = np.repeat(np.arange(batch.num_rows), n)
@@ -201,9 +274,9 @@ def marked(found: DataFrame) -> DataFrame:
             to[last] = windows
             smaller = pairs[:, 1] < doc[row]
             r = row[smaller]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(start[r] + pairs[smaller, 0]), pa.array(start[r] + to[smaller])], names=["doc", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(order[r]), pa.array(start[r] + pairs[smaller, 0]), pa.array(start[r] + to[smaller])], names=["doc", "ord", "a", "b"])
 
-    return found.select("doc", "start", "windows", "marks").mapInArrow(run, "doc long, a long, b long")
+    return found.select("doc", "ord", "start", "windows", "marks").mapInArrow(run, "doc long, ord int, a long, b long")
 
 
 def spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,33 +289,38 @@ def spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([a[new], b[end]])
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, spans: array of (a, b)): the windows of documents of distinct texts that start in a smaller document, too.
-
-    The ids are taken as long. Documents without such windows, and later copies of a whole text, are left out.
-    """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chosen = cut(base.where(F.octet_length("text") >= length).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc").alias("doc")).select("doc", "digest"), "chosen")
-    texts = base.withColumn("digest", F.sha2("text", 256)).join(chosen, ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"]).select("doc", "text")
-    # More than one text under one id: their segments are of one document.
-    shared = cut(anchored(base.join(chosen.select("doc").distinct(), "doc", "left_semi"), length, False).groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h"), "shared")
-    places = anchored(texts, length, True).join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h")).alias("at"))
-    found = cut(segments(texts.join(cut(places, "places"), "doc"), length), "segments")
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Of texts (doc, ord, text): (doc, ord, spans: array of (a, b)), the windows that start in a text of a smaller doc, too."""
+    places = cut(repeated(anchored(texts, length)).withColumn("ord", F.shiftright("place", 40).cast("int")).groupBy("doc", "ord").agg(F.collect_list(F.struct("place", "h")).alias("at")), "places")
+    found = cut(segments(texts.join(places, ["doc", "ord"]), length), "segments")
+    discard(places)
     distinct = cut(found.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min("seg").alias("seg")), "distinct")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, distinct.count() // PART + 1)
-    marks = distinct.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: index_part(t, length), "s1 long, s2 long, marks binary")
-    hit = marked(found.select("s1", "s2", "doc", "start", "windows").join(cut(marks, "marks"), ["s1", "s2"]))
-    return hit.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, distinct.count() // PART + 1)
+    marks = cut(distinct.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: index_part(t, length), "s1 long, s2 long, marks binary"), "marks")
+    hit = marked(found.select("s1", "s2", "doc", "ord", "start", "windows").join(marks, ["s1", "s2"]))
+    out = cut(hit.groupBy("doc", "ord").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    discard(found, distinct, marks)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256."""
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
+
+    The ids are taken as long. Of equal texts only the one of the smallest id is searched.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    copies = cut(base.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).groupBy(F.sha2("text", 256).alias("d")).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"), "copies")
-    gone = cut(repeated_spans(docs, length, id_col, text_col), "spans")
-    base = base.withColumn("d", F.sha2("text", 256)).join(copies, "d", "left").withColumn("whole", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)))
-    joined = base.select("id", "doc", "whole", "text").join(gone, "doc", "left").select("id", "text", "whole", "spans")
+    base = base.withColumn("digest", F.sha2("text", 256))
+    known = cut(base.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "digest").distinct(), "digests")
+    least = cut(known.groupBy("digest").agg(F.min("doc").alias("least")), "chosen")
+    # Texts that share an id are told apart by their order within it.
+    chosen = cut(least.groupBy(F.col("least").alias("doc")).agg(F.sort_array(F.collect_list("digest")).alias("d")).select("doc", F.posexplode("d").alias("ord", "digest")), "order")
+    texts = cut(base.select("doc", "digest", "text").join(chosen, ["doc", "digest"]).dropDuplicates(["doc", "ord"]).select("doc", "ord", "text"), "texts")
+    gone = repeated_spans(texts, length)
+    discard(texts)
+    gone = gone.join(chosen, ["doc", "ord"]).select("doc", "digest", "spans", F.lit(False).alias("whole"))
+    copies = known.join(least, "digest").where("least < doc").select("doc", "digest", F.lit(None).cast(gone.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole"))
+    joined = base.join(cut(gone.unionByName(copies), "gone"), ["doc", "digest"], "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
