@@ -7,17 +7,16 @@ DataFrame functions only; no Python runs on the executors.
    fewer words is one shingle.
 2. An item-sized window of a document can reach the threshold only if it holds one of the item's
    disjoint five-word tiles unbroken (each broken tile costs at least one changed word, and with every
-   tile broken over half of the shingles are gone). A tile is looked up by its longest word while the
-   document's words are unrolled; the remaining words are compared in the same join. A hit at word q
-   of tile p fixes the window's start, q - p, so that windows overlap the item word for word.
+   tile broken over half of the shingles are gone). Hashes of a document's runs of five words are unrolled, and those
+   that a tile has fix a window's start, so that windows overlap the item word for word. No row carries a text along.
 3. Each window gets a 64-bit SimHash of its weighted shingles. `radius + 1` blocks of the fingerprint
    are joined by equality: by the pigeonhole principle every pair within the Hamming radius shares a
    block. Pairs beyond the radius go.
 4. Survivors are verified by exact weighted Jaccard similarity of window and item.
 
 Defined results: null or empty texts and items match nothing; repeated rows of a document give one
-result per item and id; other columns are not read. Items are broadcast only while their tiles are
-under `broadcast_rows`; beyond that the words are joined by a shuffle.
+result per item and id; of items that share an id one counts; other columns are not read, whatever their names. Tiles and
+items are broadcast only while their measured bytes are under BROADCAST_BYTES; beyond that they are shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from tracewright.llm.shared import cut
 
 SHINGLE = 5
 BITS = 64
+BROADCAST_BYTES = 32 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -65,27 +65,37 @@ def prepare_items(items: DataFrame, item_id: str = "item_id", text_col: str = "t
     return base.join(bags, "item_id").withColumn("n", F.size("words")).withColumn("fingerprint", simhash(F.col("shingles.h"), F.col("shingles.w")))
 
 
+def run_hashes(words: Column, size: int) -> Column:
+    """(size, q, h) of each run of `size` words that starts at word q; none where there are fewer words."""
+    last = F.size(words) - F.lit(size)
+    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda q: F.struct(F.lit(size).alias("size"), q.alias("q"), F.xxhash64(F.concat_ws(" ", F.slice(words, q + 1, size))).alias("h")))
+    return F.filter(each, lambda _: last >= 0)
+
+
 def tiles(items: DataFrame) -> DataFrame:
-    """item_id, n, p (first word of the tile), word (its longest), o (that word's place in it), tile (array of words)."""
+    """item_id, n, p (first word of the tile), size (its words), h (their hash)."""
     t = items.select("item_id", "n", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - F.least("n", F.lit(SHINGLE)), F.lit(0)), F.lit(SHINGLE))).alias("p"))
-    t = t.withColumn("tile", F.slice("words", F.col("p") + 1, SHINGLE))
-    longest = F.array_max(F.transform("tile", lambda w, i: F.struct(F.length(w).alias("l"), (-i).alias("i"), w.alias("w"))))
-    return t.select("item_id", "n", "p", longest["w"].alias("word"), (-longest["i"]).alias("o"), "tile")
+    return t.select("item_id", "n", "p", F.least("n", F.lit(SHINGLE)).alias("size"), F.xxhash64(F.concat_ws(" ", F.slice("words", F.col("p") + 1, SHINGLE))).alias("h"))
+
+
+def hinted(side: DataFrame, width: Column) -> DataFrame:
+    """side, to be broadcast if its rows, of `width` bytes each, are under BROADCAST_BYTES in all."""
+    return F.broadcast(side) if (side.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else side
 
 
-def windows(docs: DataFrame, items: DataFrame, broadcast_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct (doc_id, item_id, start, window): item-sized windows that hold one of the item's tiles."""
-    found = tiles(items)
-    if found.count() <= broadcast_rows:
-        found = F.broadcast(found)
+    sought = tiles(items)
+    sizes = sorted(r[0] for r in sought.select("size").distinct().collect())  # 1 to 5 at most
+    sought = hinted(sought, F.octet_length(F.col("item_id").cast("string")) + 40)
     w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("doc_words"))
-    each = w.select("doc_id", "doc_words", F.posexplode("doc_words").alias("q", "word"))
-    same = F.slice("doc_words", F.col("q") - F.col("o") + 1, F.size("tile")) == F.col("tile")
-    hit = each.join(found, (each["word"] == found["word"]) & (F.col("q") >= F.col("o")) & same)
-    start = F.col("q") - F.col("o") - F.col("p")
+    each = w.select("doc_id", F.inline(F.concat(*(run_hashes(F.col("doc_words"), m) for m in sizes or [1]))))
+    hit = each.join(sought, ["size", "h"]).select("doc_id", "item_id", (F.col("q") - F.col("p")).alias("start"), "n").distinct()
+    at = cut(hit.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "n")).alias("at")), "hits")
     # A window that would begin before the text or end after it is cut to the text.
-    hit = hit.select("doc_id", "item_id", start.alias("start"), F.slice("doc_words", F.greatest(start, F.lit(0)) + 1, F.col("n") + F.least(start, F.lit(0))).alias("window"))
-    return hit.dropDuplicates(["doc_id", "item_id", "start"])
+    found = w.join(at, "doc_id").select("doc_id", "doc_words", F.inline("at"))
+    window = F.slice("doc_words", F.greatest("start", F.lit(0)) + 1, F.col("n") + F.least("start", F.lit(0)))
+    return found.select("doc_id", "item_id", "start", window.alias("window")).dropDuplicates(["doc_id", "item_id", "start"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 19, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -97,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radi
     idf = F.map_from_arrays(F.col("shingles.h"), F.col("shingles.idf"))
     # Shingles that the item lacks weigh as the rarest do.
     rare = F.array_max(F.col("shingles.idf"))
-    bag = bag.join(F.broadcast(item) if known.count() <= 10_000 else item, "item_id").withColumn("weights", F.transform("hashes", lambda h: F.coalesce(F.try_element_at(idf, h), rare)))
+    bag = bag.join(hinted(item, 64 + 32 * F.size("shingles")), "item_id").withColumn("weights", F.transform("hashes", lambda h: F.coalesce(F.try_element_at(idf, h), rare)))
     bag = bag.withColumn("fingerprint", simhash(F.col("hashes"), F.col("weights")))
     bag = cut(bag.select("doc_id", "item_id", "start", "hashes", "weights", "fingerprint"), "windows")
     left = bag.select("doc_id", "item_id", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))

@@ -9,7 +9,8 @@ joins the path's posterior (as prior odds) and the document's evidence.
 
 Defined results: null and empty texts have the figures of an empty text; null hosts or paths are sites
 of their own. Without labelled rows of both classes the evidence is 0 and scores are the global share (0.5 if none).
-Rows are kept one to one; extra columns are kept.
+Rows are kept one to one; extra columns are kept, whatever their names, but for the four that are added: these are replaced.
+Repeated rows count as often as they occur; of differing labels of one id the greater counts. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -112,9 +113,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels (id, 0 or 1) may cover any part of docs. A path is a host's part: (host_col, path_col).
     """
+    added = ("evidence", "host_posterior", "path_posterior", "score")
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
-    names = docs.columns
-    base = cut(with_figures(docs, text_col).drop(text_col), "figures").join(y, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    # What is worked with stands apart from the columns of docs, which go along as one.
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in added))
+    base = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"), F.col(host_col).alias("__host"), F.col(path_col).alias("__path"), rest.alias("__rest"))
+    base = cut(with_figures(base, "__text").drop("__text"), "figures").join(y, F.col("__key") == F.col("__id"), "left").drop("__id")
     known = base.where("label is not null").select("bins", "label")
     share = known.agg(F.avg("label").alias("m"), F.count("label").alias("n")).first()
     prior = share["m"] if share["n"] else 0.5
@@ -133,11 +137,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         base = base.withColumn("evidence", F.lit(0.0))
     weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT)
     good = F.coalesce(F.col("label").cast("double"), sigmoid(logit(F.lit(prior)) + F.col("evidence")))
-    paths = cut(base.groupBy(F.col(host_col).alias("h"), F.col(path_col).alias("p")).agg(F.sum(weight * good).alias("good"), F.sum(weight).alias("n")), "paths")
+    paths = cut(base.groupBy(F.col("__host").alias("h"), F.col("__path").alias("p")).agg(F.sum(weight * good).alias("good"), F.sum(weight).alias("n")), "paths")
     hosts = paths.groupBy("h").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("good") / F.sum("n")).first()[0] or prior
     hosts = cut(hosts.withColumn("host_posterior", shrunk(hosts, F.lit(float(total)))), "hosts")
     paths = paths.join(hosts.select(F.col("h").alias("h2"), "host_posterior"), F.col("h").eqNullSafe(F.col("h2"))).drop("h2")
     paths = cut(paths.withColumn("path_posterior", shrunk(paths, F.col("host_posterior"))).select("h", "p", "host_posterior", "path_posterior"), "sites")
-    out = base.join(paths, F.col(host_col).eqNullSafe(F.col("h")) & F.col(path_col).eqNullSafe(F.col("p")), "left")
-    return out.select(*(c for c in names if c != text_col), "evidence", "host_posterior", "path_posterior", sigmoid(logit(F.col("path_posterior")) + F.col("evidence")).alias("score"))
+    out = base.join(paths, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("p")), "left")
+    return out.select("__rest.*", "evidence", "host_posterior", "path_posterior", sigmoid(logit(F.col("path_posterior")) + F.col("evidence")).alias("score"))

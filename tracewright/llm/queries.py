@@ -94,7 +94,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op5_quality": op5_quality,
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings

@@ -13,8 +13,8 @@ Index part. The part's segments, each with a terminator, are suffix-sorted; thei
 (head, start, LF start). Runs are also cut where the first `length` bytes of the sorted suffixes
 change, so that the rows of one string are whole runs. The sample that a run keeps is the smallest document of its rows
 (not the position at its end: a document is all that is asked for), and a string's is the smallest of its runs.
-Matching: every segment is streamed backward through the runs by LF steps, all segments of a part at once; a step that
-is at least `length` from the segment's end is a full match and reads its string's document.
+Matching: every segment is streamed backward through the runs by LF steps from its last `length` bytes on, all segments
+of a part at once; each step is a full match and reads its string's document. Longer matches are not told apart.
 
 Marking. Segments take the answers back to their occurrences; windows whose smallest document is
 smaller than their own become spans, which are united per document.
@@ -91,7 +91,8 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
                 s = prefix_hash(data)
                 alone = mix(h + at.astype(U))
                 left, right = at - half, at + K + half
-                inside = left >= off[row], right <= off[row + 1]
+                # A side counts only if one of the segment's windows holds it.
+                inside = (left >= off[row]) & (start <= left), (right <= off[row + 1]) & (start + windows - 1 + length >= right)
                 sides = [np.where(i, span_hash(s, np.where(i, x, at), np.where(i, y, at)), alone) for i, x, y in ((inside[0], left, at + K), (inside[1], at, right))]
                 both = sides[0] >> U(32) << U(32) | sides[1] >> U(32)
                 place = order[lo:hi][row] << 40 | (start - off[row]) << 8 | windows
@@ -199,11 +200,14 @@ class RunIndex:
         code[self.at + size] = 0
         owner = np.repeat(np.arange(len(segs)), size + 1)
         left = (self.at + size)[owner] - np.arange(n)  # bytes up to the terminator
-        key = np.zeros(n, np.int64)
-        for i in range(7):
-            key = (key << 9) | np.where(i < left, code[np.minimum(np.arange(n) + i, n - 1)], 0)
+        # As many bytes at once as fit a number, by the part's own alphabet.
+        used = np.bincount(code, minlength=257) > 0
+        small, base = np.cumsum(used) - 1, int(used.sum()) + 1
+        step, key, padded = 0, np.zeros(n, np.int64), np.append(small[code], np.zeros(64, np.int64))
+        while base ** (step + 1) < 1 << 63:
+            key = key * base + np.where(step < left, padded[step : step + n], 0)
+            step += 1
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        step = 7
         while step < int(size.max()):
             then = np.where(step <= left, rank[np.minimum(np.arange(n) + step, n - 1)], -1)
             rank = np.unique(rank * (n + 1) + then + 1, return_inverse=True)[1].astype(np.int64)
@@ -227,21 +231,22 @@ class RunIndex:
         by_head = np.argsort(self.head, kind="stable")
         self.lf = np.empty(len(self.start), np.int64)
         self.lf[by_head] = np.cumsum(lengths[by_head]) - lengths[by_head]
+        # Where the last `length` bytes of each segment are sorted: streaming begins there.
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.entry = row[self.at + size - length]
 
     def stream(self) -> np.ndarray:
         """By position of the concatenation: the smallest document of the string that starts there (-1: no full string)."""
         out = np.full(int((self.size + 1).sum()), -1, np.int64)
         todo = np.argsort(-self.size, kind="stable")
-        row = todo.copy()  # terminators come first, in the order of their segments
-        sizes = self.size[todo]
-        run = np.searchsorted(self.start, row, "right") - 1
-        for t in range(1, int(self.size.max()) + 1):
+        row, sizes = self.entry[todo], self.size[todo]
+        for t in range(self.length, int(self.size.max()) + 1):
             alive = int(np.searchsorted(-sizes, -t, "right"))
-            todo, row, sizes, run = todo[:alive], row[:alive], sizes[:alive], run[:alive]
-            row = self.lf[run] + row - self.start[run]
+            todo, row, sizes = todo[:alive], row[:alive], sizes[:alive]
             run = np.searchsorted(self.start, row, "right") - 1
-            if t >= self.length:
-                out[self.at[todo] + sizes - t] = self.least[run]
+            out[self.at[todo] + sizes - t] = self.least[run]
+            row = self.lf[run] + row - self.start[run]
         return out
 
 
@@ -251,12 +256,15 @@ def index_part(distinct: pa.Table, length: int) -> pa.Table:
     doc = distinct["doc"].to_numpy()
     index = RunIndex(distinct["seg"].to_pylist(), doc, length)
     least = index.stream()
-    marks = []
-    for a, n in zip(index.at.tolist(), (index.size - length + 1).tolist(), strict=True):
-        x = least[a : a + n]
-        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        marks.append(np.column_stack([first, x[first]]).astype(np.int64).tobytes())
-    return pa.table({"s1": distinct["s1"], "s2": distinct["s2"], "marks": pa.array(marks, pa.binary())})
+    at = np.flatnonzero(least >= 0)
+    value = least[at]
+    first = np.ones(len(at), bool)
+    first[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
+    seg = np.searchsorted(index.at, at[first], "right") - 1
+    pairs = np.column_stack([at[first] - index.at[seg], value[first]]).astype(np.int64)
+    edge = np.searchsorted(seg, np.arange(len(doc) + 1)) * 16
+    marks = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
+    return pa.table({"s1": distinct["s1"], "s2": distinct["s2"], "marks": marks})
 
 
 def marked(found: DataFrame) -> DataFrame:
