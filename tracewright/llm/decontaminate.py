@@ -65,17 +65,15 @@ def prepare_items(items: DataFrame, item_id: str = "item_id", text_col: str = "t
     return base.join(bags, "item_id").withColumn("n", F.size("words")).withColumn("fingerprint", simhash(F.col("shingles.h"), F.col("shingles.w")))
 
 
-def run_hashes(words: Column, size: int) -> Column:
-    """(size, q, h) of each run of `size` words that starts at word q; none where there are fewer words."""
-    last = F.size(words) - F.lit(size)
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda q: F.struct(F.lit(size).alias("size"), q.alias("q"), F.xxhash64(F.concat_ws(" ", F.slice(words, q + 1, size))).alias("h")))
-    return F.filter(each, lambda _: last >= 0)
+def run_hash(words: Column, at: Column, size: int = SHINGLE) -> Column:
+    """Hash of the `size` words from place `at` on, or of those that there are."""
+    return F.xxhash64(*(F.get(words, at + i) for i in range(size)))
 
 
 def tiles(items: DataFrame) -> DataFrame:
     """item_id, n, p (first word of the tile), size (its words), h (their hash)."""
     t = items.select("item_id", "n", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - F.least("n", F.lit(SHINGLE)), F.lit(0)), F.lit(SHINGLE))).alias("p"))
-    return t.select("item_id", "n", "p", F.least("n", F.lit(SHINGLE)).alias("size"), F.xxhash64(F.concat_ws(" ", F.slice("words", F.col("p") + 1, SHINGLE))).alias("h"))
+    return t.select("item_id", "n", "p", F.least("n", F.lit(SHINGLE)).alias("size"), run_hash(F.col("words"), F.col("p")).alias("h"))
 
 
 def hinted(side: DataFrame, width: Column) -> DataFrame:
@@ -89,7 +87,10 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     sizes = sorted(r[0] for r in sought.select("size").distinct().collect())  # 1 to 5 at most
     sought = hinted(sought, F.octet_length(F.col("item_id").cast("string")) + 40)
     w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("doc_words"))
-    each = w.select("doc_id", F.inline(F.concat(*(run_hashes(F.col("doc_words"), m) for m in sizes or [1]))))
+    each = w.select("doc_id", "doc_words", F.posexplode("doc_words").alias("q", "word"))
+    by_size = [F.struct(F.lit(m).alias("size"), run_hash(F.col("doc_words"), F.col("q"), m).alias("h")) for m in sizes or [1]]
+    each = each.select("doc_id", "q", by_size[0].alias("x")) if len(by_size) == 1 else each.select("doc_id", "q", F.explode(F.array(*by_size)).alias("x"))
+    each = each.select("doc_id", "q", "x.size", "x.h")
     hit = each.join(sought, ["size", "h"]).select("doc_id", "item_id", (F.col("q") - F.col("p")).alias("start"), "n").distinct()
     at = cut(hit.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "n")).alias("at")), "hits")
     # A window that would begin before the text or end after it is cut to the text.
