@@ -124,7 +124,10 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         h, doc, place, sides = (t[c].to_numpy() for c in ("h", "doc", "place", "sides"))
-        some = np.flatnonzero(in_several(doc, h)) if len(h) else np.zeros(0, np.int64)
+        # Rows come sorted by anchor.
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        some = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(h)))))
         if len(some):
             h, doc, place, sides = h[some], doc[some], place[some], sides[some]
             keep = in_several(doc, sides >> 32, h) | in_several(doc, sides & 0xFFFFFFFF, h)
@@ -158,7 +161,7 @@ def repeated(rows: DataFrame) -> DataFrame:
                 large = h[-1]
                 yield from (x.select(["h", "doc", "place"]) for x in held)
                 held, n = [], 0
-        if held:
+        if n:
             yield solve(pa.Table.from_batches(held))
 
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, doc long, place long")
@@ -264,7 +267,9 @@ def index_part(distinct: pa.Table, length: int) -> pa.Table:
     pairs = np.column_stack([at[first] - index.at[seg], value[first]]).astype(np.int64)
     edge = np.searchsorted(seg, np.arange(len(doc) + 1)) * 16
     marks = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
-    return pa.table({"s1": distinct["s1"], "s2": distinct["s2"], "marks": marks})
+    # A segment of one document, all of whose windows start there first, has nothing to tell.
+    at = np.flatnonzero((np.bincount(seg[value[first] < distinct["most"].to_numpy()[seg]], minlength=len(doc)) > 0) | (distinct["most"].to_numpy() > doc))
+    return pa.table({"s1": distinct["s1"], "s2": distinct["s2"], "marks": marks}).take(pa.array(at))
 
 
 def marked(found: DataFrame) -> DataFrame:
@@ -302,7 +307,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     places = cut(repeated(anchored(texts, length)).withColumn("ord", F.shiftright("place", 40).cast("int")).groupBy("doc", "ord").agg(F.collect_list(F.struct("place", "h")).alias("at")), "places")
     found = cut(segments(texts.join(places, ["doc", "ord"]), length), "segments")
     discard(places)
-    distinct = cut(found.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min("seg").alias("seg")), "distinct")
+    distinct = cut(found.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"), F.min("h").alias("h"), F.min("seg").alias("seg")), "distinct")
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, distinct.count() // PART + 1)
     marks = cut(distinct.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("part").applyInArrow(lambda t: index_part(t, length), "s1 long, s2 long, marks binary"), "marks")
     hit = marked(found.select("s1", "s2", "doc", "ord", "start", "windows").join(marks, ["s1", "s2"]))
