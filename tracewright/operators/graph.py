@@ -99,6 +99,13 @@ def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, i
     return {"nodes": nodes, "edges": all_edges, "evidence": evidence.dropDuplicates([*part, "evidence_id"]), "diagnostics": d.unionByName(lost)}
 
 
+def import_relations(edges: DataFrame, nodes: DataFrame, part: tuple[str, ...] = ("repository_id", "snapshot_id")) -> DataFrame:
+    """part, source, target, weight, evidence of the IMPORTS edges by natural keys; an edge that lacks a node at either end is dropped."""
+    end = lambda side, name: nodes.select(*part, F.col("node_id").alias(f"{side}_node"), F.col("natural_key").alias(name))
+    found = edges.where("kind = 'IMPORTS'").join(end("from", "source"), [*part, "from_node"]).join(end("to", "target"), [*part, "to_node"])
+    return found.select(*part, "source", "target", F.col("confidence").alias("weight"), F.array(F.concat(F.lit("evidence:"), "evidence_id")).alias("evidence"))
+
+
 def page(nodes: DataFrame, edges: DataFrame, after: tuple[str, str] | None = None, limit: int = 1000) -> DataFrame:
     """kind, node_key, n_edges (edges with both ends on the page) of the nodes after a (kind, key), in that order."""
     limit = min(limit, 1000)

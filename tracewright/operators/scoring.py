@@ -19,27 +19,35 @@ def risk(hotspots: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
 
 
 def relations(co_changes: DataFrame, imports: DataFrame | None = None, part: tuple[str, ...] = ()) -> DataFrame:
-    """part, source, target, kind, weight of co-change pairs and import edges (source, target)."""
-    out = co_changes.select(*part, F.col("left_path").alias("source"), F.col("right_path").alias("target"), F.lit("co_change").alias("kind"), F.col("confidence").alias("weight"))
+    """part, source, target, kind, weight, evidence of co-change pairs and import edges (source, target).
+
+    Evidence is commit:<commit> of the pairs' evidence, and the imports' own; none where the inputs have none.
+    """
+    none = F.array().cast("array<string>")
+    of = lambda df, x: x if "evidence" in df.columns else none
+    commits = F.transform("evidence", lambda c: F.concat(F.lit("commit:"), c.cast("string")))
+    out = co_changes.select(*part, F.col("left_path").alias("source"), F.col("right_path").alias("target"), F.lit("co_change").alias("kind"), F.col("confidence").alias("weight"), of(co_changes, commits).alias("evidence"))
     if imports is not None:
-        out = out.unionByName(imports.select(*part, "source", "target", F.lit("imports").alias("kind"), F.lit(1.0).alias("weight")))
+        out = out.unionByName(imports.select(*part, "source", "target", F.lit("imports").alias("kind"), F.lit(1.0).alias("weight"), of(imports, F.col("evidence")).alias("evidence")))
     return out
 
 
 def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, ...] = (), limit: int = 20, backward: float = 0.9) -> DataFrame:
-    """part, selected_path, path, score, n_reasons, reasons, rank: neighbours of every path, or of `selected` (part, selected_path).
+    """part, selected_path, path, score, n_reasons, reasons, evidence, rank: neighbours of every path, or of `selected` (part, selected_path).
 
     Relations count forward at their weight and backward at 0.9 of it, self-loops forward only; scores
-    are sums, capped at 1, to six places (sums of doubles depend on their order beyond).
+    are sums, capped at 1, to six places (sums of doubles depend on their order beyond). Evidence is that of all
+    relations of the two, co-changes first.
     """
-    ahead = rel.select(*part, F.col("source").alias("selected_path"), F.col("target").alias("path"), "kind", "weight")
-    back = rel.where("source != target").select(*part, F.col("target").alias("selected_path"), F.col("source").alias("path"), "kind", (F.col("weight") * backward).alias("weight"))
+    ahead = rel.select(*part, F.col("source").alias("selected_path"), F.col("target").alias("path"), "kind", "weight", "evidence")
+    back = rel.where("source != target").select(*part, F.col("target").alias("selected_path"), F.col("source").alias("path"), "kind", (F.col("weight") * backward).alias("weight"), "evidence")
     rows = ahead.unionByName(back)
     if selected is not None:
         rows = rows.join(selected, [*part, "selected_path"], "left_semi")
     reason = F.format_string("%s (%.2f)", F.replace("kind", F.lit("_"), F.lit(" ")), "weight")
     keyed = F.struct((-F.col("weight")).alias("w"), reason.alias("reason"))
-    total = rows.groupBy(*part, "selected_path", "path").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("score"), F.count(F.lit(1)).alias("n_reasons"), F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["reason"]).alias("reasons"))
+    cited = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "evidence"))), lambda x: x["evidence"])))
+    total = rows.groupBy(*part, "selected_path", "path").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("score"), F.count(F.lit(1)).alias("n_reasons"), F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["reason"]).alias("reasons"), cited.alias("evidence"))
     w = Window.partitionBy(*part, "selected_path").orderBy(F.desc("score"), "path")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

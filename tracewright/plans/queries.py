@@ -11,12 +11,13 @@ from tracewright.functions.ids import stable_id
 from tracewright.functions.text import AUDIT_STOP, claim_type, spreadsheet_safe, terms
 from tracewright.operators import audit, governance, graph, history, retrieval, scoring, views
 from tracewright.plans import driver_map as m
+from tracewright.plans import facts
 from tracewright.sources.readers import load_table
 from tracewright.sources.snapshots import append_new
 from tracewright.streaming import jobs
 
 #: Dates that the queries cut at.
-HISTORY_ENDS, SNAPSHOT_CUTOFF, KNOWN_BEFORE, RETAIN_FROM = "1992-02-01", "1997-01-01", "1996-01-01", "1995-01-01"
+SNAPSHOT_CUTOFF, KNOWN_BEFORE, RETAIN_FROM = "1997-01-01", "1996-01-01", "1995-01-01"
 SELECTED = "00000007"
 
 
@@ -49,8 +50,7 @@ def co_change_pairs_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def module_candidates(spark: SparkSession, d: str) -> DataFrame:
-    seen = m.changes(spark, d).where(F.col("authored_at") < at(HISTORY_ENDS))
-    return history.modules(m.parts(spark, d), seen).select("module", "n_files", "changed_files", "confidence", "description")
+    return history.modules(m.parts(spark, d), m.changes(spark, d)).select("module", "n_files", "changed_files", "confidence", "description")
 
 
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -120,8 +120,11 @@ def unreported_changes(spark: SparkSession, d: str) -> DataFrame:
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
     text = load_table(spark, d, "benchmark").select("item_id", F.lit(0).alias("ordinal"), F.col("text").alias("claim"))
     rows = text.join(assessments(spark, d).withColumnRenamed("query_id", "item_id"), "item_id")
-    none = rows.limit(0).select("item_id", F.lit("").alias("path"), F.lit(0.0).alias("materiality"), F.lit("").alias("explanation"))
-    return audit.report_markdown(rows, none, ("item_id",))
+    # Every second item has two paths that no claim names; which of them weighs more depends on the item.
+    even = load_table(spark, d, "benchmark").where("item_id % 2 = 0").select("item_id", F.explode(F.array(F.lit("a/"), F.lit("b/"))).alias("name"))
+    weight = F.when(F.col("name") == "a/", 0.5).when(F.col("item_id") % 4 == 0, 0.25).otherwise(0.75)
+    missing = even.select("item_id", F.concat("name", F.col("item_id").cast("string")).alias("path"), weight.alias("materiality"), F.lit("no claim of the item names it").alias("explanation"))
+    return audit.report_markdown(rows, missing, ("item_id",))
 
 
 def grounded(spark: SparkSession, d: str) -> DataFrame:
@@ -267,23 +270,15 @@ def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_commit_dedup(spark: SparkSession, d: str) -> DataFrame:
-    to = scratch(spark)
+    to = facts.folder(spark, "stream")
     commits = streamed(spark, d, "orders").select("o_orderkey", "o_custkey")
     jobs.append_stream(commits, f"{to}/table", f"{to}/checkpoint", ["o_orderkey"]).awaitTermination()
     return spark.read.parquet(f"{to}/table")
 
 
 def stream_ref_upsert(spark: SparkSession, d: str) -> DataFrame:
-    to = scratch(spark)
+    to = facts.folder(spark, "stream")
     refs = streamed(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
     jobs.upsert_stream(refs, f"{to}/table", f"{to}/checkpoint", ["user_id", "event_type"], "ts", "event_id").awaitTermination()
     return jobs.newest_version(spark, f"{to}/table").select("user_id", "event_type", "event_id")
@@ -299,3 +294,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retention_purge, audit_export, tenant_visibility, run_ledger, feedback_latest, stable_ids, limiter_admit, stream_commit_dedup, stream_ref_upsert,
     )
 }
+QUERIES |= facts.QUERIES

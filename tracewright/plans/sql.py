@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tracewright.functions.text import ANSWER, AUDIT_STOP, CHANGE_WORDS, DEPLOYMENT_WORDS, RECENCY_WORDS, REFUSAL, RETRIEVAL_STOP, TEST_WORDS
-from tracewright.plans.queries import HISTORY_ENDS, KNOWN_BEFORE, RETAIN_FROM, SELECTED, SNAPSHOT_CUTOFF
+from tracewright.plans import facts_sql
+from tracewright.plans.queries import KNOWN_BEFORE, RETAIN_FROM, SELECTED, SNAPSHOT_CUTOFF
 
 
 def listed(values: tuple[str, ...]) -> str:
@@ -53,7 +54,7 @@ CO = pairs("SELECT DISTINCT l_orderkey AS commit, lpad(CAST(l_suppkey AS VARCHAR
 MODULES = f"""
 md AS (
   SELECT p_brand AS module, count(*) AS n_files, count(s.path) AS changed_files
-  FROM part LEFT JOIN (SELECT DISTINCT path FROM ch WHERE authored_at < TIMESTAMP '{HISTORY_ENDS}') s ON s.path = concat_ws('/', p_brand, p_type, CAST(p_partkey AS VARCHAR))
+  FROM part LEFT JOIN (SELECT DISTINCT path FROM ch) s ON s.path = concat_ws('/', p_brand, p_type, CAST(p_partkey AS VARCHAR))
   GROUP BY p_brand
 )"""
 CLAIMS = rf"""
@@ -153,7 +154,9 @@ SQL: dict[str, str] = {
     "report_markdown": f"""WITH {ASSESSED} SELECT item_id, '# Delivery audit ' || item_id || chr(10) || chr(10) || '## Claims' || chr(10) || chr(10) || '### 1. ' || text || chr(10) || chr(10) || 'Status: ' || status || chr(10)
         || 'Confidence: ' || CAST(CAST(round(confidence, 2) AS DECIMAL(9, 2)) AS VARCHAR) || chr(10) || 'Evidence: ' || CASE WHEN evidence = '' THEN 'none' ELSE replace(evidence, '|', ', ') END || chr(10)
         || 'Limitations: ' || CASE WHEN kind = 'deployment' THEN 'No trusted deployment provider evidence was connected.' WHEN kind = 'test' THEN 'No trusted CI evidence was connected.'
-             WHEN evidence = '' THEN 'The selected commit and file-change scope was searched.' ELSE 'none' END || chr(10) || chr(10) || '## Unreported changes' || chr(10) || chr(10) AS body FROM asd""",
+             WHEN evidence = '' THEN 'The selected commit and file-change scope was searched.' ELSE 'none' END || chr(10) || chr(10) || '## Unreported changes' || chr(10) || chr(10)
+        || CASE WHEN item_id % 2 = 0 THEN CASE WHEN item_id % 4 = 0 THEN '' ELSE '- `b/' || item_id || '` (0.75): no claim of the item names it' || chr(10) END || '- `a/' || item_id || '` (0.50): no claim of the item names it'
+             || CASE WHEN item_id % 4 = 0 THEN chr(10) || '- `b/' || item_id || '` (0.25): no claim of the item names it' ELSE '' END ELSE '' END AS body FROM asd""",
     "grounded_answers": f"WITH {GROUNDED} SELECT conv_id, answer, evidence FROM ga",
     "recent_answers": f"""WITH nw AS (SELECT 'commit:' || o_orderkey AS doc_id, o_orderpriority || ' ' || o_orderstatus AS t, row_number() OVER (ORDER BY o_orderdate DESC, 'commit:' || o_orderkey) AS r FROM orders),
         five AS (SELECT string_agg({strip("t")}, '; ' ORDER BY r) AS facts, string_agg(doc_id, '|' ORDER BY r) AS evidence FROM nw WHERE r <= 5)
@@ -193,3 +196,4 @@ SQL: dict[str, str] = {
     "stream_commit_dedup": "SELECT DISTINCT o_orderkey, o_custkey FROM orders",
     "stream_ref_upsert": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type",
 }
+SQL |= facts_sql.SQL | {"report_view": facts_sql.report_view(CLAIMS, kind("claim")), "limiter_admit": facts_sql.LIMITER}
