@@ -105,13 +105,11 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
 GROUP = 1 << 21
 
 
-def in_several(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Which rows agree in all keys with a row of another document."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(doc), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+def in_several(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which rows have a key that a row of another document has, too."""
+    order = np.argsort(key)
+    new = np.ones(len(doc), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
     first = np.flatnonzero(new)
     d = doc[order]
     out = np.empty(len(doc), bool)
@@ -130,7 +128,8 @@ def repeated(rows: DataFrame) -> DataFrame:
         some = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(h)))))
         if len(some):
             h, doc, place, sides = h[some], doc[some], place[some], sides[some]
-            keep = in_several(doc, sides >> 32, h) | in_several(doc, sides & 0xFFFFFFFF, h)
+            # One number for anchor and side; two that are alike by chance only go on to the index.
+            keep = in_several(doc, mix(h.view(U)) + (sides.view(U) >> U(32))) | in_several(doc, mix(h.view(U)) + (sides.view(U) & U(0xFFFFFFFF)))
             h, doc, place = h[keep], doc[keep], place[keep]
         else:
             h, doc, place = h[:0], doc[:0], place[:0]
@@ -215,7 +214,7 @@ class RunIndex:
             then = np.where(step <= left, rank[np.minimum(np.arange(n) + step, n - 1)], -1)
             rank = np.unique(rank * (n + 1) + then + 1, return_inverse=True)[1].astype(np.int64)
             step *= 2
-        order = np.argsort(rank, kind="stable")  # equal suffixes in the order of their segments
+        order = np.argsort(rank * n + np.arange(n))  # equal suffixes in the order of their segments
         before = np.where(order == self.at[owner[order]], 0, code[order - 1])
         s = prefix_hash(data)
         full = left[order] >= length
@@ -231,7 +230,7 @@ class RunIndex:
         sample = np.minimum.reduceat(doc[owner[order]], self.start)
         group = np.flatnonzero(fresh[self.start])
         self.least = np.minimum.reduceat(sample, group)[np.cumsum(fresh[self.start]) - 1]
-        by_head = np.argsort(self.head, kind="stable")
+        by_head = np.argsort(self.head * len(self.head) + np.arange(len(self.head)))
         self.lf = np.empty(len(self.start), np.int64)
         self.lf[by_head] = np.cumsum(lengths[by_head]) - lengths[by_head]
         # Where the last `length` bytes of each segment are sorted: streaming begins there.
