@@ -20,6 +20,8 @@ from tracewright.llm.shared import components, cut, discard
 
 #: Members of a block of a mixed bucket, on average.
 BLOCK = 256
+#: Members of small blocks taken together, and pairs of them looked at at a time.
+MEMBERS, PAIRS = 1 << 15, 1 << 18
 
 Parse = Callable[[pa.Array], np.ndarray]
 Stay = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -44,33 +46,39 @@ def across(blocks: DataFrame, kind: str, parse: Parse, stay: Stay, keys: Callabl
     """Block pairs (key, same, x, y: arrays of (id, component, sig)) to (key, id): members of the pairs of
     different components that stay. A pair that shares several buckets counts in the first of them only."""
 
-    def side(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, comp, sig = column.slice(r, 1).flatten().flatten()
-        return ids.to_numpy(zero_copy_only=False), comp.to_numpy(zero_copy_only=False), parse(sig)
+    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, comp, sig = column.flatten().flatten()
+        return column.value_lengths().to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False), comp.to_numpy(zero_copy_only=False), parse(sig)
+
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        key, same = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        (nx, ia, ca, sa), (ny, ib, cb, sb) = side(rows.column(2)), side(rows.column(3))
+        ka, kb = keys(sa), keys(sb)
+        many = nx.astype(np.int64) * ny
+        end, x0, y0 = np.cumsum(many), np.cumsum(nx) - nx, np.cumsum(ny) - ny
+        for lo in range(0, int(end[-1]), PAIRS):
+            p = np.arange(lo, min(lo + PAIRS, int(end[-1])))
+            r = np.searchsorted(end, p, "right")
+            p -= (end - many)[r]
+            la, lb = x0[r] + p // ny[r], y0[r] + p % ny[r]
+            apart = np.flatnonzero((ca[la] != cb[lb]) & (~same[r] | (ia[la] < ib[lb])))
+            r, la, lb = r[apart], la[apart], lb[apart]
+            keep = stay(sa, sb, la, lb)
+            r, la, lb = r[keep], la[keep], lb[keep]
+            first = (ka[la] == kb[lb]).argmax(1)
+            here = ka[la, first] == key[r]
+            r, la, lb = r[here], la[here], lb[here]
+            yield pa.table({"key": np.tile(key[r], 2), "id": np.concatenate([ia[la], ib[lb]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for r, (key, same) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                (ia, ca, sa), (ib, cb, sb) = side(batch.column(2), r), side(batch.column(3), r)
-                ka, kb = keys(sa), keys(sb)
-                out: list[np.ndarray] = []
-                for lo in range(0, len(ia), 64):
-                    la, lb = np.nonzero(ca[lo : lo + 64, None] != cb[None, :])
-                    la += lo
-                    if same:
-                        once = ia[la] < ib[lb]
-                        la, lb = la[once], lb[once]
-                    keep = stay(sa, sb, la, lb)
-                    la, lb = la[keep], lb[keep]
-                    first = (ka[la] == kb[lb]).argmax(1)
-                    here = ka[la, first] == key
-                    out += [ia[la[here]], ib[lb[here]]]
-                ids = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-                if len(ids):
-                    found.append((np.full(len(ids), key), ids))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["key", "id"])
+            members = sum(batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            group = np.cumsum(members) // MEMBERS
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                found = list(compare(batch.slice(lo, hi - lo))) if hi > lo else []
+                if found:
+                    yield from pa.concat_tables(found).group_by(["key", "id"]).aggregate([]).combine_chunks().to_batches()
 
     return blocks.select("key", "same", "x", "y").mapInArrow(run, f"key long, id {kind}")
 
@@ -81,7 +89,7 @@ def settle(blocks: DataFrame, kind: str, linked: Linked) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            a, b, same = [], [], batch.column(0).to_pylist()
             for r in range(batch.num_rows):
                 (ia, ca, xa), (ib, cb, xb) = ((v.field(0).to_pylist(), v.field(1).to_pylist(), v.field(2).to_pylist()) for v in (batch.column(c).slice(r, 1).flatten() for c in (1, 2)))
                 over: dict = {}
@@ -92,7 +100,8 @@ def settle(blocks: DataFrame, kind: str, linked: Linked) -> DataFrame:
                         c = d
                     return c
 
-                i, j, confirm = linked(xa, xb, np.array(ca)[:, None] != np.array(cb)[None, :])
+                mask = np.array(ca)[:, None] != np.array(cb)[None, :]
+                i, j, confirm = linked(xa, xb, np.triu(mask) if same[r] else mask)
                 for p, q in zip(i.tolist(), j.tolist(), strict=True):
                     if (s := top(ca[p])) != (t := top(cb[q])) and (confirm is None or confirm(p, q)):
                         over[max(s, t)] = min(s, t)
@@ -124,13 +133,14 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
     keyed = keyed.select("key", "id")
     # The hub is the least member: the same one in all buckets of a small group.
     buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("id").alias("n")).where("n > 1"), "buckets")
-    crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key"), "crowded")
-    hubs = crowded.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2 and hub != top").select(F.col("hub").alias("a"), F.col("top").alias("b"))).distinct()
+    # A hub's pairs are all looked at here, so that only the other members go on.
+    crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key").where("id != hub"), "crowded")
+    hubs = crowded.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2 and hub != top").select(F.col("hub").alias("a"), F.col("top").alias("b"))).distinct()
     hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = cut(prune(hubs, parse, stay), "survivors")
     links = verify(pairs)
     discard(pairs)
-    # Two members were compared as a hub's pair; larger buckets of several components go on.
+    # Buckets whose other members are of several components go on.
     of = cut(crowded.join(components(links, "a", "b"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "of")
     discard(buckets, crowded)
     mixed = cut(of.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key"), "mixed")
