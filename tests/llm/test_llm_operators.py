@@ -315,3 +315,34 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(d, items).collect()}
     assert set(got) == {(1, 1), (2, 1), (6, 2), (7, 4)} and got[1, 1].start == 2 and got[1, 1].similarity == 1 and 0.8 <= got[2, 1].similarity < 1
     assert decontaminate.contaminated(d, items.limit(0)).count() == 0
+
+
+def test_connect_in_a_bucket_of_many_blocks(spark):
+    """Chains within one large bucket, mostly apart from its hub, beside many small buckets: as a union-find over all pairs has it."""
+    from tracewright.llm.linking import connect
+
+    def value(i):
+        return (i * 37) % 701 // 3 * 10 + i % 2
+
+    def parse(column):
+        return np.array([[int(x)] for x in column.to_pylist()], np.int64).reshape(-1, 1)
+
+    def stay(x, y, i, j):
+        return np.flatnonzero(np.abs(x[i, 0] - y[j, 0]) <= 1)
+
+    def keys(x):
+        return np.column_stack([np.full(len(x), 7), 1000 + x[:, 0] // 10])
+
+    def linked(x, y, mask):
+        a, b = (np.array([int(v) for v in w]) for w in (x, y))
+        return *np.nonzero(mask & (np.abs(a[:, None] - b[None, :]) <= 1)), None
+
+    ids = list(range(700))
+    sig = spark.createDataFrame([(i, str(value(i)).encode()) for i in ids], "id long, sig binary")
+    keyed = spark.createDataFrame([(k, i) for i in ids for k in (7, 1000 + value(i) // 10)], "key long, id long")
+    got = connect(keyed, sig, parse, stay, keys, lambda pairs: shared.cut(pairs, "links"), lambda need: need.join(sig, "id").select("id", F.col("sig").alias("content")), linked)
+    groups = {}
+    for i in ids:
+        groups.setdefault(value(i) // 10, []).append(i)
+    want = {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
+    assert {r.id: r.component for r in got.collect()} == want
