@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, toxicity, warc
+from tracewright.llm import byte_bpe, clustering, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -80,6 +80,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -91,9 +95,41 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+#: The usable vectors as whole numbers; {} is a further condition.
+WHOLE = """
+whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {}
+)"""
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Assignment (a), then new centroids (c), round by round, one component a row."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (SELECT r, k, CAST(sum((x - v) * (x - v)) AS BIGINT) AS d FROM part JOIN c{i} USING (i) GROUP BY r, k),
+a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (SELECT k, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS v FROM a{i} JOIN part USING (r) GROUP BY k, i),
+c{i + 1} AS MATERIALIZED (SELECT k, i, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (k, i))""")
+    return f"""
+WITH {WHOLE.format("len(embedding) = 64")},
+part AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(list_transform(e, lambda x: CAST(x AS BIGINT))) AS x FROM whole),
+seeds AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS k FROM whole QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT k, i, x AS v FROM seeds JOIN part USING (r)), {",".join(steps)},
+told AS (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM whole JOIN a{rounds} USING (r) JOIN told USING (k)
+"""
+
+
 SQL: dict[str, str] = {
+    "op13_centroid_clustering": clusters_sql(),
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
