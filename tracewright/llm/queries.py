@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, clustering, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, toxicity, warc
+from tracewright.llm import byte_bpe, clustering, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, tokencounts, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -80,6 +80,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from a cache of its own that starts empty; a user keeps one folder over all runs."""
+    import public_tokenizers
+
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-cache"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +102,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_token_counts": op12_token_counts,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
