@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, clustering, decontaminate, embeddings, languageid, linededup, minhash, quality, repeats, tokencounts, toxicity, warc
+from tracewright.llm import byte_bpe, clustering, decontaminate, embeddings, hardnegatives, languageid, linededup, minhash, quality, repeats, tokencounts, toxicity, warc
 from tracewright.llm.shared import cut, shared_dir
 
 
@@ -80,6 +80,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), hashes_only=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts from a cache of its own that starts empty; a user keeps one folder over all runs."""
     import public_tokenizers
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_counts": op12_token_counts,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
@@ -137,6 +143,20 @@ FROM whole JOIN a{rounds} USING (r) JOIN told USING (k)
 
 
 SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""
+WITH {WHOLE.format("vec_id IS NOT NULL AND label IS NOT NULL")},
+one AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, e FROM whole QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, e) = 1),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM one a JOIN one b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+neg AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM pos JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT * FROM neg WHERE rank <= 3
+""",
     "op13_centroid_clustering": clusters_sql(),
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
