@@ -11,7 +11,7 @@ are scored exactly. Where the narrowest range holds most of a bucket, intersecti
 Rounding only ever widens the ranges; scores are exact.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component take no part; vectors of
-different lengths never meet. Rows that share an id count as one, the first by label and vector. Equal scores go by the
+different lengths never meet. Rows that share an id count as one, the first by label and the bytes of its whole numbers. Equal scores go by the
 smaller id. An anchor without others of its label has no rows, nor has a positive without rows in its window (so none
 with a negative score). An empty table gives an empty result. Extra columns are not read.
 """
