@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import claim_status, claim_type, located_claims
-from tracewright.operators.retrieval import overlaps, top
+from tracewright.operators.retrieval import best_matches, top
 
 MOST_CLAIMS, MOST_CHARACTERS, EVIDENCE = 100, 100_000, 5
 
@@ -45,9 +45,8 @@ def assess(claims: DataFrame, evidence: DataFrame, on: tuple[str, ...] = ()) ->
 
     evidence: (on, doc_id, kind, text). Confidence is unrounded.
     """
-    hits = overlaps(claims, evidence.select(*on, "doc_id", "text"), on=on)
-    best = top(hits, EVIDENCE, (*on, "query_id")).groupBy(*on, "query_id").agg(F.max("score").alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("found"))
-    ci = hits.join(evidence.where("kind = 'ci_run'").select(*on, "doc_id"), [*on, "doc_id"], "left_semi").select(*on, "query_id").distinct().withColumn("ci", F.lit(True))
+    best = best_matches(claims, evidence.select(*on, "doc_id", "text"), EVIDENCE, on=on).groupBy(*on, "query_id").agg(F.max("score").alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("found"))
+    ci = best_matches(claims, evidence.where("kind = 'ci_run'").select(*on, "doc_id", "text"), 1, on=on).select(*on, "query_id").withColumn("ci", F.lit(True))
     rows = claims.join(best, [*on, "query_id"], "left").join(ci, [*on, "query_id"], "left")
     kind = F.col("claim_type")
     none = F.array().cast(best.schema["found"].dataType)

@@ -1,7 +1,10 @@
-"""Grounded retrieval: lexical overlap joins, answers and citation checks."""
+"""Grounded retrieval: best lexical matches, answers and citation checks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,110 @@ def overlaps(queries: DataFrame, docs: DataFrame, stop: tuple[str, ...] = AUDIT_
     return hits.select(*on, "query_id", "doc_id", (F.col("shared") / F.col("n_terms")).alias("score"))
 
 
+#: Documents and questions of a shard, on average.
+DOCUMENTS, QUESTIONS = 1 << 16, 1 << 15
+#: Documents that are worth a task of their own while cores are idle.
+LEAST = 1 << 12
+
+
+def matches(asked: list[np.ndarray], postings: list[np.ndarray], n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, document, shared terms) of the k documents that share most terms with each question; ties by document.
+
+    asked: a question's terms; postings: a term's documents, ascending. A question's terms are gone through from the rarest on.
+    A document first met at some term can share no more than the terms that are left, so that once the k-th best count
+    is above that, no further documents are taken up and those met are only looked up in the longer lists; the
+    ones that cannot reach the k-th best any more go.
+    """
+    df = np.array([len(p) for p in postings], np.int64)
+    count = np.zeros(n_docs, np.int32)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def kth(met: np.ndarray) -> int:
+        return int(np.partition(count[met], len(met) - k)[len(met) - k]) if len(met) >= k else 0
+
+    for q, terms_of in enumerate(asked):
+        order = terms_of[np.argsort(df[terms_of], kind="stable")]
+        met, touched, least, closed = np.empty(0, np.int64), [], 0, False
+        for i, t in enumerate(order):
+            left = len(order) - i
+            if not closed and least > left:
+                closed = True
+            if closed:
+                met = met[count[met] + left >= least]
+                at = np.searchsorted(postings[t], met)
+                at[at == df[t]] = 0
+                count[met[postings[t][at] == met]] += 1
+            else:
+                p = postings[t]
+                new = p[count[p] == 0]
+                count[p] += 1
+                if len(new):
+                    touched.append(new)
+                    met = np.concatenate([met, new])
+            if i + 1 >= left:  # earlier, no count can be above the terms left
+                least = kth(met)
+        if len(met):
+            least = kth(met)
+            met = met[count[met] >= max(1, least)]
+            met = met[np.lexsort((met, -count[met]))][:k]
+            found.append((np.full(len(met), q), met, count[met].copy()))
+        for x in touched:
+            count[x] = 0
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+
+def best_matches(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, ...] = AUDIT_STOP, on: tuple[str, ...] = ()) -> DataFrame:
+    """on, query_id, doc_id, score, rank: the k documents that share most of a query's terms, by score (share of its terms), then doc_id.
+
+    queries: (on, query_id, text), docs: (on, doc_id, text); a document that shares no term does not count. Documents and
+    queries are dealt into shards of bounded size. In a task one shard of documents, indexed by term, meets one of queries, and k
+    matches of each query leave it: there is no table of pairs.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    q = queries.select(*on, "query_id", terms(F.col("text"), stop).alias("terms")).where(F.size("terms") > 0)
+    d = docs.select(*on, "doc_id", "text")
+    sizes = d.groupBy(*on).agg(F.count("doc_id").alias("n")).withColumn("shards", F.greatest(F.ceil(F.col("n") / DOCUMENTS), F.least(F.lit(cores), F.ceil(F.col("n") / LEAST))).cast("int"))
+    parts = queries.groupBy(*on).agg(F.greatest(F.lit(1), F.ceil(F.count("query_id") / QUESTIONS)).cast("int").alias("parts"))
+    both = sizes.join(parts, list(on)) if on else sizes.crossJoin(F.broadcast(parts))  # one row with one row
+    both = both.select(*on, "shards", "parts")
+    with_sizes = lambda df: df.join(both, list(on)) if on else df.crossJoin(F.broadcast(both))  # one row
+    deal = lambda column, of: F.pmod(F.xxhash64(column), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = with_sizes(d).select(*on, "doc_id", terms(F.col("text"), stop).alias("terms"), deal("doc_id", "shards").alias("shard"), every("parts").alias("part"))
+    right = with_sizes(q).select(*on, "query_id", "terms", every("shards").alias("shard"), deal("query_id", "parts").alias("part"))
+
+    def run(documents: pa.Table, questions: pa.Table) -> pa.Table:
+        documents = documents.select(["doc_id", "terms"]).combine_chunks().sort_by("doc_id")
+        questions = questions.rename_columns([c.removeprefix("of_") for c in questions.column_names]).combine_chunks()
+
+        def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+            """(row, term) of lists."""
+            size = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return np.repeat(np.arange(len(size)), size), pc.list_flatten(column).combine_chunks() if column.num_chunks else pa.array([], pa.string())
+
+        (ask, words), (row, terms_in) = flat(questions["terms"]), flat(documents["terms"])
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        term = pc.index_in(terms_in, value_set=coded.dictionary)
+        held = term.is_valid().to_numpy(zero_copy_only=False)
+        row, term = row[held], term.drop_null().to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        n_terms = len(coded.dictionary)
+        postings = np.split(row[order], np.cumsum(np.bincount(term, minlength=n_terms))[:-1]) if n_terms else []
+        size = np.bincount(ask, minlength=questions.num_rows)
+        asked = np.split(which, np.cumsum(size)[:-1]) if questions.num_rows else []
+        a, b, n = matches(asked, postings, documents.num_rows, k)
+        out = {c: questions[c].take(pa.array(a)) for c in (*on, "query_id")}
+        return pa.table(out | {"doc_id": documents["doc_id"].take(pa.array(b)), "score": n / size[a]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *docs.schema.fields)}
+    keys = [*on, "shard", "part"]
+    right = right.select([F.col(c).alias(f"of_{c}") for c in right.columns])  # both may come from one table
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), f"query_id {kinds['query_id']}", f"doc_id {kinds['doc_id']}", "score double"])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*(f"of_{c}" for c in keys))).applyInArrow(run, schema)
+    return top(found, k, (*on, "query_id"))
+
+
 def top(scored: DataFrame, k: int = 5, keys: tuple[str, ...] = ("query_id",), order: list[Column] | None = None) -> DataFrame:
     """The first k rows of each key, with rank; by score, then doc_id."""
     w = Window.partitionBy(*keys).orderBy(*(order or [F.desc("score"), F.col("doc_id")]))
@@ -46,7 +153,7 @@ def answers(questions: DataFrame, docs: DataFrame, k: int = 5, on: tuple[str, ..
     docs: (on, doc_id, kind, text, at).
     """
     asked = questions.withColumn("recent", F.coalesce(asks_for_recent_changes(F.col("text")), F.lit(False)))
-    best = top(overlaps(asked.where("not recent"), docs, RETRIEVAL_STOP, on), k, (*on, "query_id"))
+    best = best_matches(asked.where("not recent"), docs, k, RETRIEVAL_STOP, on)
     newest = docs.where("kind = 'commit'")
     newest = top(newest, k, on, [F.desc("at"), F.col("doc_id")]) if on else newest.orderBy(F.desc("at"), "doc_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("at"), "doc_id")))
     lately = asked.where("recent").select(*on, "query_id")

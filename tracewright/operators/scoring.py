@@ -37,8 +37,11 @@ def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, .
 
     Relations count forward at their weight and backward at 0.9 of it, self-loops forward only; scores
     are sums, capped at 1, to six places (sums of doubles depend on their order beyond). Evidence is that of all
-    relations of the two, co-changes first.
+    relations of the two, co-changes first, and is gathered for the neighbours that are left only; relations without
+    that column give none.
     """
+    if "evidence" not in rel.columns:
+        rel = rel.withColumn("evidence", F.array().cast("array<string>"))
     ahead = rel.select(*part, F.col("source").alias("selected_path"), F.col("target").alias("path"), "kind", "weight", "evidence")
     back = rel.where("source != target").select(*part, F.col("target").alias("selected_path"), F.col("source").alias("path"), "kind", (F.col("weight") * backward).alias("weight"), "evidence")
     rows = ahead.unionByName(back)
@@ -46,10 +49,14 @@ def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, .
         rows = rows.join(selected, [*part, "selected_path"], "left_semi")
     reason = F.format_string("%s (%.2f)", F.replace("kind", F.lit("_"), F.lit(" ")), "weight")
     keyed = F.struct((-F.col("weight")).alias("w"), reason.alias("reason"))
-    cited = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "evidence"))), lambda x: x["evidence"])))
-    total = rows.groupBy(*part, "selected_path", "path").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("score"), F.count(F.lit(1)).alias("n_reasons"), F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["reason"]).alias("reasons"), cited.alias("evidence"))
+    keys = [*part, "selected_path", "path"]
+    total = rows.groupBy(*keys).agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("score"), F.count(F.lit(1)).alias("n_reasons"), F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["reason"]).alias("reasons"))
     w = Window.partitionBy(*part, "selected_path").orderBy(F.desc("score"), "path")
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    best = total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    cited = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "evidence"))), lambda x: x["evidence"])))
+    evidence = rows.where(F.size("evidence") > 0).select(*keys, "kind", "evidence").join(best.select(*keys), keys, "left_semi").groupBy(*keys).agg(cited.alias("evidence"))
+    out = best.join(evidence, keys, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return out.select(*keys, "score", "n_reasons", "reasons", "evidence", "rank")
 
 
 def evaluate(scored: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
