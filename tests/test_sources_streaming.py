@@ -88,20 +88,3 @@ def test_streams(spark, tmp_path):
     q = jobs.dedup_commits(stream, ["k"], "at").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 2
-
-
-def run(df, name, tmp_path):
-    df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
-
-
-def test_stateful_streams(spark, tmp_path):
-    s = parts(spark, tmp_path / "w", [("k", "f", "r1"), ("k", "f", "r2"), ("k", "g", "r3")], "key string, fp string, res string")
-    out = run(jobs.first_writes(s, "key", "fp", "res"), "writes", tmp_path)
-    assert sorted(r.outcome for r in out.collect()) in (["conflict", "created", "replayed"], ["conflict", "conflict", "created"])
-    times = [T0 + dt.timedelta(seconds=x) for x in (1, 2, 3, 62)]
-    s = spark.createDataFrame([("u", t, i) for i, t in enumerate(times)], "user string, ts timestamp, id int")
-    s.coalesce(1).write.parquet(str(tmp_path / "adm"))
-    stream = spark.readStream.schema(s.schema).parquet(str(tmp_path / "adm"))
-    out = run(jobs.admit_stream(stream, "user", "ts", "id", 2), "admitted", tmp_path)
-    assert [r.admitted for r in out.orderBy("event").collect()] == [True, True, False, True]

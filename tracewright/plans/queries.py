@@ -14,7 +14,7 @@ from tracewright.plans import driver_map as m
 from tracewright.plans import facts
 from tracewright.sources.readers import load_table
 from tracewright.sources.snapshots import append_new
-from tracewright.streaming import jobs
+from tracewright.streaming import jobs, stateful
 
 #: Dates that the queries cut at.
 SNAPSHOT_CUTOFF, KNOWN_BEFORE, RETAIN_FROM = "1997-01-01", "1996-01-01", "1995-01-01"
@@ -284,6 +284,42 @@ def stream_ref_upsert(spark: SparkSession, d: str) -> DataFrame:
     return jobs.newest_version(spark, f"{to}/table").select("user_id", "event_type", "event_id")
 
 
+def fed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the events gives when they come in three runs from one checkpoint, every tenth event one run late.
+
+    A last row, without a user, lets the watermark pass all others.
+    """
+    to, e = facts.folder(spark, "stream"), load_table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.sha2("props", 256).alias("fp"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    in_time = F.when(F.col("ts") < F.lit(first + third), 0).when(F.col("ts") < F.lit(last - third), 1).otherwise(2)
+    run = F.least(F.lit(2), in_time + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0))
+    for i in range(3):
+        rows = e.where(run == i)
+        if i == 2:
+            rows = rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), F.lit(last + 9 * third).cast("timestamp_ntz").alias("ts"), F.lit("").alias("fp")))
+        rows.write.mode("append").parquet(f"{to}/in")
+        stream = build(spark.readStream.schema(e.schema).parquet(f"{to}/in"))
+        stateful.append_to(stream, f"{to}/table", f"{to}/checkpoint")
+    return spark.read.parquet(f"{to}/table").where("event_id >= 0")
+
+
+#: Longer than a third of the events' time, by which late ones are late.
+LATENESS = "20 days"
+
+
+def stream_first_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Requests are the events, keys user and kind of event: how often each first write came back, and how often it was contradicted."""
+    out = fed(spark, d, lambda s: stateful.first_writes(s, ["user_id", "event_type"], "ts", "event_id", "fp", "event_id", LATENESS))
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    return out.groupBy("user_id", "event_type", F.col("resource").cast("long").alias("first_event_id")).agg(n("replayed").alias("n_replays"), n("conflict").alias("n_conflicts"))
+
+
+def stream_admissions(spark: SparkSession, d: str) -> DataFrame:
+    """One event of a user in any hour."""
+    return fed(spark, d, lambda s: stateful.admit_stream(s, ["user_id"], "ts", "event_id", 1, 3600.0, LATENESS)).select("user_id", "event_id", "admitted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -292,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         grounded_answers, recent_answers, citation_check, link_nodes, link_edges, link_diagnostics, graph_page, graph_summary, evidence_lookup,
         latest_snapshot, snapshot_as_of, inventory, architecture, new_commits, ref_upsert, idempotent_writes, retention_preview,
         retention_purge, audit_export, tenant_visibility, run_ledger, feedback_latest, stable_ids, limiter_admit, stream_commit_dedup, stream_ref_upsert,
+        stream_first_writes, stream_admissions,
     )
 }
 QUERIES |= facts.QUERIES

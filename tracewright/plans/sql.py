@@ -196,4 +196,5 @@ SQL: dict[str, str] = {
     "stream_commit_dedup": "SELECT DISTINCT o_orderkey, o_custkey FROM orders",
     "stream_ref_upsert": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type",
 }
-SQL |= facts_sql.SQL | {"report_view": facts_sql.report_view(CLAIMS, kind("claim")), "limiter_admit": facts_sql.LIMITER}
+SQL["stream_first_writes"] = SQL["idempotent_writes"]
+SQL |= facts_sql.SQL | {"stream_admissions": facts_sql.LIMITER, "report_view": facts_sql.report_view(CLAIMS, kind("claim")), "limiter_admit": facts_sql.LIMITER}

@@ -1,15 +1,10 @@
-"""Incremental ingest as streams: commit deduplication, branch heads, idempotent writes and admission."""
+"""Incremental ingest as streams: commit deduplication and branch heads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.sources.snapshots import append_new, upsert_latest
 
@@ -55,53 +50,3 @@ def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], like.schema)
-
-
-def first_writes(stream: DataFrame, key: str, fingerprint: str, resource: str, retention_ms: int | None = None) -> DataFrame:
-    """key, resource, outcome of each request: created, replayed (the first resource comes back) or conflict.
-
-    State holds the first fingerprint and resource of a key, for good or until it has been idle for
-    retention_ms; with that, a stream has to run on (it never is done under availableNow).
-    """
-
-    def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first = state.get if state.exists else None
-        for pdf in batches:
-            rows = []
-            for fp, res in zip(pdf[fingerprint], pdf[resource], strict=True):
-                if first is None:
-                    first = (str(fp), str(res))
-                    rows.append((keys[0], first[1], "created"))
-                else:
-                    rows.append((keys[0], first[1], "replayed" if first[0] == str(fp) else "conflict"))
-            yield pd.DataFrame(rows, columns=["key", "resource", "outcome"])
-        state.update(first)
-        if retention_ms:
-            state.setTimeoutDuration(retention_ms)
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, resource string, outcome string", "fingerprint string, resource string", "append", GroupStateTimeout.ProcessingTimeTimeout if retention_ms else GroupStateTimeout.NoTimeout)
-
-
-def admit_stream(stream: DataFrame, key: str, at: str, event: str, limit: int, seconds: float = 60.0) -> DataFrame:
-    """key, event, admitted: the sliding admission log as state, kept to the last `seconds`; rejected events do not count."""
-    span = int(seconds * 1_000_000)
-
-    def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["__t", event])
-        out = []
-        for t in pdf["__t"]:
-            window = [x for x in window if x > t - span]
-            out.append(ok := len(window) < limit)
-            if ok:
-                window.append(int(t))
-        state.update((window,))
-        yield pd.DataFrame({"key": keys[0], "event": pdf[event].to_numpy(), "admitted": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    rows = stream.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), event)
-    return rows.groupBy(key).applyInPandasWithState(step, f"key {kinds[key]}, event {kinds[event]}, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
