@@ -190,13 +190,51 @@ def test_views(spark):
     assert [r.id for r in views.newest_first(rows).collect()] == [2, 1] and views.newest_first(rows, "w1").count() == 1
 
 
+def stored(spark, path, rows, schema, by):
+    spark.createDataFrame(rows, schema).repartition(1).write.partitionBy(by).parquet(path)
+    return path
+
+
+def retained(spark, tmp_path):
+    """Reports of several days with claims, assessments of claims and unreported changes; answers with feedback."""
+    to = lambda name: str(tmp_path / name)
+    rid = [(i, DAY[i % 6], i % 6) for i in range(12)] + [(99, None, 0)]
+    claim = [(f"c{i}-{j}", i, i % 6) for i, _, _ in rid for j in range(2)] + [("orphan", None, 1)]
+    return {
+        "reports": governance.Stored(stored(spark, to("reports"), rid, "report_id int, created_at timestamp, day int", "day"), "day", at="created_at", cutoff=F.lit(DAY[2])),
+        "claims": governance.Stored(stored(spark, to("claims"), claim, "claim_id string, report_id int, day int", "day"), "day", parent="reports", parent_key="report_id", on="report_id"),
+        "assessments": governance.Stored(stored(spark, to("assessments"), [(c, "VERIFIED", (r or 0) % 3) for c, r, _ in claim], "claim string, status string, shard int", "shard"), "shard", parent="claims", parent_key="claim_id", on="claim"),
+        "unreported": governance.Stored(stored(spark, to("unreported"), [(i, f"p{i}", i % 6) for i, _, _ in rid], "report_id int, path string, day int", "day"), "day", parent="reports", parent_key="report_id", on="report_id"),
+    }
+
+
+def test_retention_cascade(spark, tmp_path):
+    tables = retained(spark, tmp_path)
+    gone = {n: df.count() for n, df in governance.expiring(spark, tables).items()}
+    assert gone == {"reports": 4, "claims": 8, "assessments": 8, "unreported": 4}
+    files = lambda: {str(p) for p in tmp_path.rglob("*.parquet")}
+    before, total = files(), {n: spark.read.parquet(t.path).count() for n, t in tables.items()}
+    touched = governance.purge(spark, tables)
+    left = {n: spark.read.parquet(t.path) for n, t in tables.items()}
+    assert {n: df.count() for n, df in left.items()} == {n: total[n] - gone[n] for n in total}
+    assert {r.report_id for r in left["reports"].collect()} == {2, 3, 4, 5, 8, 9, 10, 11, 99} and left["claims"].where("claim_id = 'orphan'").count() == 1
+    # Days 0 and 1 alone lose rows, day 1 of the reports all; files of other partitions keep their names.
+    assert touched == {"reports": ["0", "1"], "claims": ["0", "1"], "assessments": ["0", "1"], "unreported": ["0", "1"]}
+    rewritten = {f.split("/")[-3] + "/" + f.split("/")[-2] for f in before - files()}
+    assert rewritten == {f"{n}/{t.by}={x}" for n, t in tables.items() for x in touched[n]} and not (tmp_path / "reports" / "day=1").exists()
+    assert governance.purge(spark, tables) == {n: [] for n in tables}
+
+
+def test_retention_goes_on_after_a_break(spark, tmp_path, monkeypatch):
+    tables = retained(spark, tmp_path)
+    broken = governance.Stored(**{**tables["claims"].__dict__, "path": str(tmp_path / "nowhere")})
+    with pytest.raises(Exception, match="nowhere"):
+        governance.purge(spark, tables | {"claims": broken})
+    governance.purge(spark, tables)
+    assert {n: spark.read.parquet(t.path).count() for n, t in tables.items()} == {"reports": 9, "claims": 19, "assessments": 19, "unreported": 9}
+
+
 def test_governance(spark):
-    parents = spark.createDataFrame([(1, DAY[0]), (2, DAY[5])], "id int, created_at timestamp")
-    kids = spark.createDataFrame([(10, 1), (11, 2)], "kid int, parent int")
-    cut = F.lit(DAY[3])
-    gone = governance.retention(parents, {"kids": (kids, "parent")}, "id", "created_at", cut)
-    left = governance.retention(parents, {"kids": (kids, "parent")}, "id", "created_at", cut, dry_run=False)
-    assert gone["kids"].first().kid == 10 and left["kids"].first().kid == 11 and left["parents"].first().id == 2
     req = spark.createDataFrame([("k", 1, "f", "a"), ("k", 2, "f", "b"), ("k", 3, "g", "c")], "key string, seq int, fp string, res string")
     row = governance.idempotent_writes(req, ["key"], ["seq"], "fp", "res").first()
     assert (row.first_res, row.n_replays, row.n_conflicts) == ("a", 1, 1)

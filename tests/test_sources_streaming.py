@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracewright.sources import readers, sinks, snapshots
+from tracewright.sources import buckets, readers, sinks, snapshots
 from tracewright.streaming import jobs
 
 A, B = "a" * 40, "b" * 40
@@ -84,7 +84,42 @@ def test_streams(spark, tmp_path):
     jobs.append_stream(stream, str(tmp_path / "t1"), str(tmp_path / "c1"), ["k"]).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "t1")).collect()) == ["a", "b"]
     jobs.upsert_stream(stream, str(tmp_path / "t2"), str(tmp_path / "c2"), ["k"], "at", "v").awaitTermination()
-    assert {(r.k, r.v) for r in jobs.newest_version(spark, str(tmp_path / "t2")).collect()} == {("a", 2), ("b", 3)}
+    assert {(r.k, r.v) for r in buckets.newest(spark, str(tmp_path / "t2")).collect()} == {("a", 2), ("b", 3)}
     q = jobs.dedup_commits(stream, ["k"], "at").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 2
+
+
+def files(root):
+    return {p.name: p.parent.name for p in root.rglob("rows/**/*.parquet")}
+
+
+def test_an_upsert_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    root = tmp_path / "t"
+    frame = lambda rows: spark.createDataFrame(rows, "k long, at timestamp, v int, m map<string,int>")
+    rows = [(k, T0, k, {"a": k}) for k in range(200)] + [(None, T0, -1, None), (3, T0 - dt.timedelta(1), 0, None)]
+    assert len(buckets.upsert(str(root), frame(rows), ["k"], "at", "v", 0, 8)) == 8
+    before = files(root)
+    changed = buckets.upsert(str(root), frame([(7, T0 + dt.timedelta(1), 70, {"b": 1}), (7, None, 71, None)]), ["k"], "at", "v", 1, 8)
+    after = files(root)
+    new = {b for f, b in after.items() if f not in before}
+    assert len(changed) == 1 and new == {f"bucket={changed[0]}"} and before.items() <= after.items()  # the last version stays for its readers
+    got = {r.k: r.v for r in buckets.newest(spark, str(root)).collect()}
+    assert len(got) == 201 and got[7] == 70 and got[3] == 3 and got[None] == -1
+    assert buckets.upsert(str(root), frame([(7, T0 + dt.timedelta(9), 99, None)]), ["k"], "at", "v", 1, 8) == []  # a batch that is run again
+    assert buckets.upsert(str(root), frame([]), ["k"], "at", "v", 2, 8) == []
+    # The rows of version 0 that version 1 replaced go with version 2.
+    buckets.upsert(str(root), frame([(8, T0 + dt.timedelta(1), 80, None)]), ["k"], "at", "v", 2, 8)
+    left = files(root)
+    assert {f for f, b in before.items() if b == f"bucket={changed[0]}"}.isdisjoint(left) and buckets.versions(spark, str(root)) == [1, 2]
+
+
+def test_a_failed_upsert_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "t")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at timestamp, v int")
+    buckets.upsert(root, frame([("a", T0, 1)]), ["k"], "at", "v", 0, 4)
+    frame([("a", T0, 9)]).write.parquet(f"{root}/rows/v=1/bucket=0")  # rows, but no manifest
+    (tmp_path / "t" / "manifest" / "v=1").mkdir()
+    assert [r.v for r in buckets.newest(spark, root).collect()] == [1]
+    buckets.upsert(root, frame([("a", T0 + dt.timedelta(1), 2)]), ["k"], "at", "v", 1, 4)
+    assert [r.v for r in buckets.newest(spark, root).collect()] == [2]

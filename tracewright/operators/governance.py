@@ -1,28 +1,77 @@
-"""Retention, idempotent writes and admission."""
+"""Retention over several levels of tables, idempotent writes and admission."""
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.buckets import remove
 
-def expired(parents: DataFrame, at: str, cutoff: Column) -> DataFrame:
-    return parents.where(F.col(at) < cutoff)
 
+@dataclass(frozen=True)
+class Stored:
+    """A table on Parquet under a retention rule, partitioned by the column `by`.
 
-def retention(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str, at: str, cutoff: Column, dry_run: bool = True) -> dict[str, DataFrame]:
-    """What a retention run removes (dry_run) or leaves, by table: parents older than cutoff and the rows that hang on them.
+    A root has the time of its rows in `at` and expires before `cutoff`; another table's rows go with the parent's row whose `parent_key`
+    their column `on` holds.
+    """
+
+    path: str
+    by: str
+    at: str | None = None
+    cutoff: Column | None = None
+    parent: str | None = None
+    parent_key: str | None = None
+    on: str | None = None
+
+
+def expiring(spark: SparkSession, tables: dict[str, Stored]) -> dict[str, DataFrame]:
+    """The rows of each table that go, parents before children in `tables`. Rows without a time or a parent's key stay."""
+    out: dict[str, DataFrame] = {}
+    for name, t in tables.items():
+        rows = spark.read.parquet(t.path)
+        out[name] = rows.where(F.col(t.at) < t.cutoff) if t.parent is None else rows.join(out[t.parent].select(F.col(t.parent_key).alias(t.on)).distinct(), t.on, "left_semi")
+    return out
+
+
+def partition_path(t: Stored, value: object) -> str:
+    text = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+    if not re.fullmatch(r"[\w.-]+", text):
+        raise ValueError(f"values of {t.by} must be plain words or numbers: {text}")
+    return f"{t.path}/{t.by}={text}"
+
+
+def purge(spark: SparkSession, tables: dict[str, Stored]) -> dict[str, list[str]]:
+    """Delete what expires, children before parents; the partitions rewritten or removed of each table.
 
-    children: name -> (table, column that holds the parent's key). The audit trail is not among them.
+    Only partitions that lose rows are written anew, each swapped in when it is complete; the files of others stay. Parents go last, so that a run
+    that broke off can be run again. The driver holds a table's partition values. The audit trail is not among the tables.
     """
-    old = expired(parents, at, cutoff).select(key)
-    if dry_run:
-        return {"parents": expired(parents, at, cutoff)} | {n: df.join(old.select(F.col(key).alias(c)), c, "left_semi") for n, (df, c) in children.items()}
-    kept = parents.where(~(F.col(at) < cutoff) | F.col(at).isNull())
-    return {"parents": kept} | {n: df.join(old.select(F.col(key).alias(c)), c, "left_anti") for n, (df, c) in children.items()}
+    gone, touched = expiring(spark, tables), {}
+    for name, t in reversed(tables.items()):
+        lost = [r[0] for r in gone[name].select(t.by).distinct().collect()]
+        touched[name] = sorted(map(str, lost))
+        if not lost:
+            continue
+        some = F.col(t.by).isin([x for x in lost if x is not None])
+        hit = spark.read.parquet(t.path).where(F.coalesce(some, F.lit(False)) | F.col(t.by).isNull() if None in lost else some)
+        if t.parent is None:
+            kept = hit.where(~(F.col(t.at) < t.cutoff) | F.col(t.at).isNull())
+        else:
+            kept = hit.join(gone[t.parent].select(F.col(t.parent_key).alias(t.on)).distinct(), t.on, "left_anti")
+        left = {r[0] for r in kept.select(t.by).distinct().collect()}
+        if left:
+            kept.select(hit.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(t.by).parquet(t.path)
+        for value in lost:
+            if value not in left:
+                remove(spark, partition_path(t, value))
+    return touched
 
 
 def idempotent_writes(requests: DataFrame, keys: list[str], order: list[str], fingerprint: str, resource: str) -> DataFrame:
@@ -44,14 +93,14 @@ def admit(events: DataFrame, key: str, at: str, event: str, limit: int, seconds:
     span = int(seconds * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window = None, []
+        current, window = None, deque()
         for pdf in batches:
             admitted = []
             for k, t in zip(pdf[key], pdf["__t"], strict=True):
                 if k != current:
-                    current, window = k, []
+                    current, window = k, deque()
                 while window and window[0] <= t - span:
-                    window.pop(0)
+                    window.popleft()
                 admitted.append(ok := len(window) < limit)
                 if ok:
                     window.append(t)

@@ -12,12 +12,13 @@ from tracewright.functions.text import AUDIT_STOP, claim_type, spreadsheet_safe,
 from tracewright.operators import audit, governance, graph, history, retrieval, scoring, views
 from tracewright.plans import driver_map as m
 from tracewright.plans import facts
+from tracewright.sources import buckets
 from tracewright.sources.readers import load_table
 from tracewright.sources.snapshots import append_new
 from tracewright.streaming import jobs, stateful
 
 #: Dates that the queries cut at.
-SNAPSHOT_CUTOFF, KNOWN_BEFORE, RETAIN_FROM = "1997-01-01", "1996-01-01", "1995-01-01"
+SNAPSHOT_CUTOFF, KNOWN_BEFORE, RETAIN_FROM, ANSWERS_FROM = "1997-01-01", "1996-01-01", "1996-07-01", "2024-01-10"
 SELECTED = "00000007"
 
 
@@ -218,18 +219,44 @@ def idempotent_writes(spark: SparkSession, d: str) -> DataFrame:
     return governance.idempotent_writes(e, ["user_id", "event_type"], ["ts", "event_id"], "fp", "event_id")
 
 
-def retained(spark: SparkSession, d: str, dry_run: bool, name: str) -> DataFrame:
-    o, lines = load_table(spark, d, "orders"), load_table(spark, d, "lineitem")
-    out = governance.retention(o, {"claims": (lines, "l_orderkey")}, "o_orderkey", "o_orderdate", at(RETAIN_FROM), dry_run)
-    return views.run_summary(reports=out["parents"], claims=out["claims"]).select(F.col("what").alias("table"), F.col("n").alias(name))
+def retained(spark: SparkSession, d: str) -> dict[str, governance.Stored]:
+    """Orders are reports, line items claims, the odd ones assessed; priorities are unreported changes. Events are answers, the next event is feedback.
+
+    Tables of reports are partitioned by year, those of answers by week.
+    """
+    to = facts.folder(spark, "retained")
+    orders = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"), "o_orderpriority").withColumn("year", F.year("created_at"))
+    lines = load_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"), "l_linenumber").join(orders.select("report_id", "year"), "report_id")
+    events = load_table(spark, d, "events").withColumn("week", F.weekofyear("ts"))
+    written = {
+        "reports": (orders.drop("o_orderpriority"), "year"),
+        "claims": (lines.select("claim_id", "report_id", "year"), "year"),
+        "assessments": (lines.where("l_linenumber % 2 = 1").select("claim_id", F.lit("VERIFIED").alias("status"), "year"), "year"),
+        "unreported": (orders.select("report_id", F.col("o_orderpriority").alias("path"), "year"), "year"),
+        "answers": (events.where("event_id % 2 = 0").select(F.col("event_id").alias("answer_id"), F.col("ts").alias("created_at"), "week"), "week"),
+        "feedback": (events.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("answer_id"), "user_id", "week"), "week"),
+    }
+    for name, (df, by) in written.items():
+        df.repartition(by).write.partitionBy(by).parquet(f"{to}/{name}")
+    root = lambda name, cutoff: governance.Stored(f"{to}/{name}", written[name][1], at="created_at", cutoff=at(cutoff))
+    below = lambda name, parent, key: governance.Stored(f"{to}/{name}", written[name][1], parent=parent, parent_key=key, on=key)
+    return {
+        "reports": root("reports", RETAIN_FROM), "claims": below("claims", "reports", "report_id"), "assessments": below("assessments", "claims", "claim_id"),
+        "unreported": below("unreported", "reports", "report_id"), "answers": root("answers", ANSWERS_FROM), "feedback": below("feedback", "answers", "answer_id"),
+    }
 
 
 def retention_preview(spark: SparkSession, d: str) -> DataFrame:
-    return retained(spark, d, True, "n_rows")
+    """How many rows of each table a retention run removes."""
+    gone = governance.expiring(spark, retained(spark, d))
+    return views.run_summary(**gone).select(F.col("what").alias("table"), F.col("n").alias("n_rows"))
 
 
 def retention_purge(spark: SparkSession, d: str) -> DataFrame:
-    return retained(spark, d, False, "n_remaining")
+    """How many rows of each table a retention run leaves on disk."""
+    tables = retained(spark, d)
+    governance.purge(spark, tables)
+    return views.run_summary(**{n: spark.read.parquet(t.path) for n, t in tables.items()}).select(F.col("what").alias("table"), F.col("n").alias("n_remaining"))
 
 
 def audit_export(spark: SparkSession, d: str) -> DataFrame:
@@ -278,10 +305,14 @@ def stream_commit_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_ref_upsert(spark: SparkSession, d: str) -> DataFrame:
-    to = facts.folder(spark, "stream")
-    refs = streamed(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
-    jobs.upsert_stream(refs, f"{to}/table", f"{to}/checkpoint", ["user_id", "event_type"], "ts", "event_id").awaitTermination()
-    return jobs.newest_version(spark, f"{to}/table").select("user_id", "event_type", "event_id")
+    """Three runs of a stream from one checkpoint; the last one has few keys, so that few buckets are written anew."""
+    to, e = facts.folder(spark, "stream"), load_table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    run = F.when(F.col("user_id") % 50 == 1, F.lit(2)).otherwise(F.col("event_id") % 2)
+    for i in range(3):
+        e.where(run == i).write.mode("append").parquet(f"{to}/in")
+        refs = spark.readStream.schema(e.schema).parquet(f"{to}/in")
+        jobs.upsert_stream(refs, f"{to}/table", f"{to}/checkpoint", ["user_id", "event_type"], "ts", "event_id").awaitTermination()
+    return buckets.newest(spark, f"{to}/table").select("user_id", "event_type", "event_id")
 
 
 def fed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:

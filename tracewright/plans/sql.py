@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewright.functions.text import ANSWER, AUDIT_STOP, CHANGE_WORDS, DEPLOYMENT_WORDS, RECENCY_WORDS, REFUSAL, RETRIEVAL_STOP, TEST_WORDS
 from tracewright.plans import facts_sql
-from tracewright.plans.queries import KNOWN_BEFORE, RETAIN_FROM, SELECTED, SNAPSHOT_CUTOFF
+from tracewright.plans.queries import ANSWERS_FROM, KNOWN_BEFORE, RETAIN_FROM, SELECTED, SNAPSHOT_CUTOFF
 
 
 def listed(values: tuple[str, ...]) -> str:
@@ -122,6 +122,20 @@ nd AS (
 ed AS (SELECT DISTINCT 'IMPORTS' AS type, path AS from_key, CASE WHEN class = 'resolved' THEN resolved ELSE 'asset:' || base END AS to_key FROM lk WHERE class <> 'unresolved')"""
 LATEST = "SELECT o_custkey, o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE {}) WHERE r = 1"
 
+
+
+def retention(name: str, gone: bool) -> str:
+    """Rows of each table whose report or answer is older than its cutoff, or is not."""
+    old = f"o_orderdate {'<' if gone else '>='} TIMESTAMP '{RETAIN_FROM}'"
+    answer = f"{'' if gone else 'NOT '}(a.ts < TIMESTAMP '{ANSWERS_FROM}')"
+    lines = f"FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {old}"
+    return f"""SELECT 'reports' AS "table", count(*) AS {name} FROM orders WHERE {old}
+        UNION ALL SELECT 'claims', count(*) {lines} UNION ALL SELECT 'assessments', count(*) {lines} AND l_linenumber % 2 = 1
+        UNION ALL SELECT 'unreported', count(*) FROM orders WHERE {old}
+        UNION ALL SELECT 'answers', count(*) FROM events a WHERE event_id % 2 = 0 AND {answer}
+        UNION ALL SELECT 'feedback', count(*) FROM events f JOIN events a ON a.event_id = f.event_id - 1 WHERE f.event_id % 2 = 1 AND {answer}"""
+
+
 SQL: dict[str, str] = {
     "file_change_stats": f"WITH {HS} SELECT path, commit_count, churn FROM st",
     "hotspots": f"WITH {HS} SELECT * FROM hs",
@@ -182,10 +196,8 @@ SQL: dict[str, str] = {
     "ref_upsert": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type",
     "idempotent_writes": """WITH f AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event_id, arg_min(props, (ts, event_id)) AS p FROM events GROUP BY user_id, event_type)
         SELECT user_id, event_type, first_event_id, count(*) FILTER (WHERE props = p) - 1 AS n_replays, count(*) FILTER (WHERE props <> p) AS n_conflicts FROM events JOIN f USING (user_id, event_type) GROUP BY ALL""",
-    "retention_preview": f"""SELECT 'reports' AS "table", count(*) AS n_rows FROM orders WHERE o_orderdate < TIMESTAMP '{RETAIN_FROM}'
-        UNION ALL SELECT 'claims', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '{RETAIN_FROM}')""",
-    "retention_purge": f"""SELECT 'reports' AS "table", count(*) AS n_remaining FROM orders WHERE o_orderdate >= TIMESTAMP '{RETAIN_FROM}'
-        UNION ALL SELECT 'claims', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '{RETAIN_FROM}')""",
+    "retention_preview": retention("n_rows", True),
+    "retention_purge": retention("n_remaining", False),
     "audit_export": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '''=' || event_type ELSE event_type END AS cell FROM events ORDER BY ts DESC, event_id LIMIT 10000",
     "tenant_visibility": "SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY c_custkey",
     "run_ledger": """SELECT o_custkey, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN 'F' ELSE arg_max(o_orderstatus, o_orderkey) END AS state,

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewright.sources.snapshots import append_new, upsert_latest
+from tracewright.sources.buckets import BUCKETS, upsert
+from tracewright.sources.snapshots import append_new
 
 
 def dedup_commits(stream: DataFrame, keys: list[str], at: str, lateness: str = "1 day") -> DataFrame:
@@ -24,24 +24,15 @@ def append_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], at: str, tie: str) -> StreamingQuery:
-    """Keep the last row of each key: every batch writes a new version below root/__version=<batch>; the newest one is the table."""
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], at: str, tie: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the last row of each key in the bucketed table at root: a batch rewrites the buckets of its keys; sources.buckets.newest() reads it."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = existing(spark, f"{root}/__version={number - 1}", batch)
-        upsert_latest(before, batch, keys, at, tie).write.mode("overwrite").parquet(f"{root}/__version={number}")
+        upsert(root, batch, keys, at, tie, number, buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The table that upsert_stream() last wrote."""
-    table = spark.read.parquet(root)
-    last = table.agg(F.max("__version")).first()[0]
-    return table.where(F.col("__version") == last).drop("__version")
-
-
 def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The Parquet table at path, or no rows like `like`'s."""
     try:
