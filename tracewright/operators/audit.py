@@ -23,9 +23,17 @@ def split_reports(reports: DataFrame, keys: tuple[str, ...] = ("report_id",), mo
     return claims, read.where("x is null or size(x) = 0").select(*keys, "text")
 
 
-def in_scope(changes: DataFrame, reports: DataFrame, on: str = "repository_id") -> DataFrame:
-    """changes joined to the reports (report_id, on, scope_from, scope_to) whose inclusive scope holds them; from > to holds none."""
-    return changes.join(reports.select("report_id", on, "scope_from", "scope_to"), on).where("authored_at between scope_from and scope_to").drop("scope_from", "scope_to")
+def in_scope(changes: DataFrame, reports: DataFrame, on: str = "repository_id", days: int = 30) -> DataFrame:
+    """changes joined to the reports (report_id, on, scope_from, scope_to) whose inclusive scope holds them; from > to holds none.
+
+    Time is cut into bins of `days`. A scope has a row for each bin that it touches, a change one, and the two are joined by
+    repository and bin; the exact bounds are tested on what meets. So a repository's changes meet the reports of their time only, and
+    its rows are spread over many keys.
+    """
+    bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86_400 * days))
+    scopes = reports.where("scope_from <= scope_to").select("report_id", on, "scope_from", "scope_to", F.explode(F.sequence(bin_of("scope_from"), bin_of("scope_to"))).alias("__bin"))
+    met = changes.withColumn("__bin", bin_of("authored_at")).join(scopes, [on, "__bin"])
+    return met.where("authored_at between scope_from and scope_to").drop("scope_from", "scope_to", "__bin")
 
 
 def candidates(changes: DataFrame, commits: DataFrame, on: tuple[str, ...] = ("repository_id",), most: int | None = None) -> DataFrame:
@@ -52,6 +60,7 @@ def assess(claims: DataFrame, evidence: DataFrame, on: tuple[str, ...] = ()) ->
     none = F.array().cast(best.schema["found"].dataType)
     rows = rows.withColumn("status", claim_status(kind, F.col("best"), F.col("ci"))).withColumn("evidence", F.when(kind == "deployment", none).otherwise(F.coalesce("found", none)))
     outside = F.col("status") == "EXTERNAL_EVIDENCE_REQUIRED"
+    # The texts of rationales and limitations.
     why = (
         F.when(outside & (kind == "deployment"), "Repository evidence cannot establish deployment state.")
         .when(outside, "Repository changes do not prove that tests passed.")

@@ -44,6 +44,29 @@ def hotspots(stats: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
     return both.withColumn("score", score).drop("mc", "mh")
 
 
+#: Files of a block of a large commit, on average.
+BLOCK = 512
+
+
+def file_pairs(rows: DataFrame, part: tuple[str, ...] = (), right: tuple[str, ...] = ()) -> DataFrame:
+    """part, commit, left_path, right_path and the columns `right` of the right row: the pairs of files, in order, of each commit.
+
+    A commit's files are dealt into blocks of bounded size, and each pair of blocks is a key of the join, so that the pairs of a
+    commit of any size are made by many tasks. Most commits are one block.
+    """
+    keys = [*part, "commit"]
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
+    dealt = rows.join(large, keys, "left").withColumn("__blocks", F.coalesce(F.ceil(F.col("__n") / BLOCK), F.lit(1)))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("path"), "__blocks")).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    dealt = dealt.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other"))
+    at = [*keys, "__lo", "__hi"]
+    a = dealt.select(*at, F.col("path").alias("left_path"), F.col("__own").alias("__left"))
+    b = dealt.select(*at, F.col("path").alias("right_path"), F.col("__own").alias("__right"), *right)
+    # Two files of one block meet under that block's own key only.
+    met = a.join(b, at).where("left_path < right_path and (__lo = __hi) = (__left = __right)")
+    return met.select(*keys, "left_path", "right_path", *right)
+
+
 def co_changes(changes: DataFrame, part: tuple[str, ...] = (), support: int = 2, max_files: int | None = None) -> DataFrame:
     """part, left_path, right_path, commit_count, confidence (Jaccard, by counts) of pairs seen in `support` commits.
 
@@ -55,8 +78,7 @@ def co_changes(changes: DataFrame, part: tuple[str, ...] = (), support: int = 2,
         paired = rows.join(small, [*part, "commit"], "left_semi")
     else:
         paired = rows
-    left, right = paired.withColumnRenamed("path", "left_path"), paired.withColumnRenamed("path", "right_path")
-    pairs = left.join(right, [*part, "commit"]).where("left_path < right_path").groupBy(*part, "left_path", "right_path").agg(F.count(F.lit(1)).alias("commit_count")).where(F.col("commit_count") >= support)
+    pairs = file_pairs(paired, part).groupBy(*part, "left_path", "right_path").agg(F.count(F.lit(1)).alias("commit_count")).where(F.col("commit_count") >= support)
     n = rows.groupBy(*part, "path").agg(F.count(F.lit(1)).alias("n"))
     for side in ("left", "right"):
         pairs = pairs.join(n.select(*part, F.col("path").alias(f"{side}_path"), F.col("n").alias(f"n_{side}")), [*part, f"{side}_path"])
@@ -78,11 +100,8 @@ def file_evidence(changes: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
 
 def pair_evidence(changes: DataFrame, pairs: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
     """pairs with the first commits that hold both files."""
-    base = changes.select(*part, "commit", "path", "authored_at")
-    left = base.withColumnRenamed("path", "left_path")
-    right = base.drop("authored_at").withColumnRenamed("path", "right_path")
     keys = [*part, "left_path", "right_path"]
-    rows = left.join(right, [*part, "commit"]).where("left_path < right_path").join(pairs.select(*keys), keys, "left_semi")
+    rows = file_pairs(changes.select(*part, "commit", "path", "authored_at"), part, ("authored_at",)).join(pairs.select(*keys), keys, "left_semi")
     return pairs.join(first_evidence(rows, keys, "commit", [F.col("authored_at"), F.col("commit")]), keys)
 
 

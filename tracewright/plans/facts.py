@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,21 @@ from tracewright.sources.readers import load_table
 #: Whose impact is asked for, and the size up to which the first of two snapshots holds parts.
 SELECTED, SMALL = "00000007", 25
 SHAS = ("a" * 40, "b" * 40)
-SCOPE_FROM = "1994-01-01"
+#: When the scopes of the reports begin, and how many changes of each are candidates.
+SCOPE_FROM, NEWEST = "1995-03-01", 20
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a session without that setting writes below its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that setting is absent a local session (a test, say) takes a temporary folder; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tracewright-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -109,22 +120,27 @@ def impact_evidence(spark: SparkSession, d: str) -> DataFrame:
     ch = supplier_history(spark, d)
     of = F.concat(F.lit("import:"), "source")
     rel = scoring.relations(history.pair_evidence(ch, history.co_changes(ch)), m.supplier_imports(spark, d).withColumn("evidence", F.array(of)))
+    # Ranking and gathering evidence both read the relations: they are made once.
+    to = folder(spark, "relations")
+    rel.write.parquet(to)
+    rel = spark.read.schema(rel.schema).parquet(to)
     chosen = rel.select(F.explode(F.array("source", "target")).alias("selected_path")).where(F.col("selected_path") == SELECTED).distinct()
     return scoring.impact(rel, chosen).select("path", "score", F.array_join("evidence", "|").alias("evidence"))
 
 
 def scoped_changes(spark: SparkSession, d: str) -> DataFrame:
-    """A report per nation over a scope of its own; the newest 50 changes of each, with the commit's message where there is one."""
+    """A report per nation over a scope of its own length; its newest changes, with the commit's message where there is one."""
     nation = load_table(spark, d, "nation")
     begin = F.lit(SCOPE_FROM).cast("timestamp_ntz")
-    reports = nation.select(F.concat(F.lit("rep"), F.col("n_nationkey").cast("string")).alias("report_id"), F.col("n_nationkey").cast("long").alias("repository_id"), begin.alias("scope_from"), F.expr("timestamp_ntz'1994-01-01' + make_interval(0, 0, 0, cast(n_nationkey as int) * 20 - 40)").alias("scope_to"))
+    end = F.expr(f"timestamp_ntz'{SCOPE_FROM}' + make_interval(0, 0, 0, cast(n_nationkey as int) * 30 + 400)")
+    reports = nation.select(F.concat(F.lit("rep"), F.col("n_nationkey").cast("string")).alias("report_id"), F.col("n_nationkey").cast("long").alias("repository_id"), begin.alias("scope_from"), end.alias("scope_to"))
     customers = load_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("repository_id"))
     orders = load_table(spark, d, "orders").join(customers, "o_custkey").withColumn("commit", F.col("o_orderkey").cast("string"))
     changes = orders.select("repository_id", "commit", F.col("o_orderpriority").alias("path"), F.col("o_orderdate").cast("timestamp_ntz").alias("authored_at"))
     commits = orders.where("o_orderkey % 3 != 0").select("repository_id", "commit", F.concat(F.lit("status "), "o_orderstatus").alias("message"))
     scoped = audit.in_scope(changes, reports)
     by_report = commits.join(reports.select("report_id", "repository_id"), "repository_id")
-    return audit.candidates(scoped, by_report, ("report_id",), most=50).select("report_id", "doc_id", "text")
+    return audit.candidates(scoped, by_report, ("report_id",), most=NEWEST).select("report_id", "doc_id", "text")
 
 
 def report_view(spark: SparkSession, d: str) -> DataFrame:

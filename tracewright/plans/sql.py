@@ -53,7 +53,7 @@ co AS (SELECT left_path, right_path, commit_count, commit_count / (l.n + r.n - c
 CO = pairs("SELECT DISTINCT l_orderkey AS commit, lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS path FROM lineitem")
 MODULES = f"""
 md AS (
-  SELECT p_brand AS module, count(*) AS n_files, count(s.path) AS changed_files
+  SELECT p_brand AS module, count(*) + count(*) FILTER (WHERE p_partkey % 4 = 0) AS n_files, count(s.path) AS changed_files
   FROM part LEFT JOIN (SELECT DISTINCT path FROM ch) s ON s.path = concat_ws('/', p_brand, p_type, CAST(p_partkey AS VARCHAR))
   GROUP BY p_brand
 )"""
@@ -98,7 +98,7 @@ ga AS (SELECT q.query_id AS conv_id, CASE WHEN n > 0 THEN '{ANSWER}' || facts EL
 )
 LINKS = r"""
 pp0 AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1) AS rest, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages),
-pp AS (SELECT host, host || '/' || CASE WHEN trim(rest, '/') = '' THEN 'index.ts' ELSE replace(trim(rest, '/'), '/', '~') END AS path, hrefs FROM pp0 WHERE host <> ''),
+pp AS (SELECT host, host || '/' || CASE WHEN regexp_extract(rest, '^/+([^/]*)', 1) = '' THEN 'index' ELSE regexp_extract(rest, '^/+([^/]*)', 1) END || '.ts' AS path, hrefs FROM pp0 WHERE host <> ''),
 fl AS (SELECT DISTINCT path FROM pp),
 im AS (SELECT host, path, replace(ltrim(unnest(hrefs), '/'), '/', '~') AS x FROM pp),
 im2 AS (SELECT *, CASE WHEN x IN ('', '.') THEN host ELSE host || '/' || x END AS base, lower(regexp_extract(x, '^.+(\.[^.]+)$', 1)) AS suffix FROM im),
