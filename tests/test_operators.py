@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import random
 import json
 from pathlib import Path
 
@@ -167,6 +169,63 @@ def test_page_keeps_edges_inside(spark):
     assert graph.link_facts(files).first().module == "./b"
 
 
+def test_stored_pages_cover_all_nodes_once(spark, tmp_path):
+    keys = sorted({(k, f"{i * 7919 % 5000:05}") for i in range(900) for k in ("FILE", "SYMBOL")})
+    nodes = spark.createDataFrame(keys, "kind string, natural_key string").repartition(5)
+    path = str(tmp_path / "nodes")
+    graph.store_nodes(nodes, path, run=100)
+    n_runs = spark.read.parquet(f"{path}/index").count()
+    assert n_runs > 10
+    seen, cursor, pages = [], None, 0
+    while True:
+        page = graph.read_page(spark, path, cursor, 130)
+        assert len(page.runs) <= 5 < n_runs  # few runs of a page
+        seen += [tuple(r) for r in page.nodes.collect()]
+        pages, cursor = pages + 1, page.cursor
+        if cursor is None:
+            break
+    assert seen == keys and pages == -(-len(keys) // 130)
+    far = graph.read_page(spark, path, None, 50, offset=1500)
+    assert [tuple(r) for r in far.nodes.collect()] == keys[1500:1550] and len(far.runs) <= 3 and far.cursor == keys[1549]
+    both = graph.read_page(spark, path, keys[300], 10, offset=250)
+    assert [tuple(r) for r in both.nodes.collect()] == keys[551:561]
+    end = graph.read_page(spark, path, keys[-1], 10)
+    assert end.nodes.count() == 0 and end.cursor is None
+    exact = graph.read_page(spark, path, keys[-11], 10)
+    assert exact.nodes.count() == 10 and exact.cursor is None
+
+
+def test_first_diagnostics(spark):
+    d = spark.createDataFrame([(f"p{i:03}", "C", "m") for i in range(300)], "path string, code string, message string")
+    assert [r.path for r in graph.first_diagnostics(d, 1000).collect()] == [f"p{i:03}" for i in range(250)]
+
+
+def test_large_commits_are_dealt_into_blocks(spark, monkeypatch):
+    """The pairs of a commit of many files, by few files to a block, and how they spread over keys."""
+    monkeypatch.setattr(history, "BLOCK", 8)
+    rng = random.Random(1)
+    commits = {"big": [f"f{i:03}" for i in range(90)], "also": [f"f{i:03}" for i in range(0, 90, 2)], **{f"c{j}": rng.sample([f"f{i:03}" for i in range(90)], rng.randint(1, 9)) for j in range(30)}}
+    rows = spark.createDataFrame([(c, f) for c, fs in commits.items() for f in fs], "commit string, path string")
+    got = history.file_pairs(rows).select("commit", "left_path", "right_path")
+    have = [tuple(r) for r in got.collect()]
+    want = {(c, *p) for c, fs in commits.items() for p in itertools.combinations(sorted(fs), 2)}
+    assert len(have) == len(want) and set(have) == want
+    keys = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__lo" in keys and "__hi" in keys
+
+
+def test_scopes_hold_the_changes_between_their_bounds(spark):
+    day = lambda x: dt.datetime(2020, 1, 1) + dt.timedelta(days=x)
+    rng = random.Random(2)
+    changes = [(rng.choice("rs"), f"c{i}", f"p{i % 5}", day(rng.randrange(0, 4000) / 4)) for i in range(300)] + [("r", "edge", "p", day(100)), ("r", "none", "p", None)]
+    reports = [(f"t{i}", rng.choice("rs"), day(a := rng.randrange(-50, 900)), day(a + rng.choice([0, 1, 29, 30, 31, 400]))) for i in range(40)]
+    reports += [("back", "r", day(200), day(100)), ("exact", "r", day(100), day(100)), ("open", "r", None, day(9))]
+    got = audit.in_scope(spark.createDataFrame(changes, "repository_id string, commit string, path string, authored_at timestamp_ntz"), spark.createDataFrame(reports, "report_id string, repository_id string, scope_from timestamp_ntz, scope_to timestamp_ntz"))
+    have = [(r.report_id, r.commit) for r in got.collect()]
+    want = {(t, c) for c_repo, c, _, x in changes for t, repo, a, b in reports if repo == c_repo and x and a and a <= x <= b}
+    assert len(have) == len(want) > 100 and set(have) == want and ("exact", "edge") in want
+
+
 def test_views(spark):
     snaps = spark.createDataFrame([("R", "s1", "aa", DAY[0]), ("R", "s2", "bb", DAY[1]), ("R", "s3", "cc", None)], f"{PART}, commit_sha string, published_at timestamp")
     assert views.latest_snapshot(snaps).first().snapshot_id == "s2"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.sources import buckets, readers, sinks, snapshots
@@ -55,12 +56,52 @@ def test_snapshots_are_seen_only_when_published(spark, tmp_path):
     t = spark.createDataFrame([("a.ts",)], "path string")
     assert snapshots.publish_snapshot(spark, root, "R", "s1", "aa", {"files": t}, F.lit(T0))
     assert not snapshots.publish_snapshot(spark, root, "R", "s9", "aa", {"files": t})
-    t.withColumns({"repository_id": F.lit("R"), "snapshot_id": F.lit("half")}).write.mode("append").partitionBy("repository_id", "snapshot_id").parquet(f"{root}/files")
+    t.withColumns({"repository_id": F.lit("R"), "snapshot_id": F.lit("half"), "attempt": F.lit("x")}).write.mode("append").partitionBy("repository_id", "snapshot_id", "attempt").parquet(f"{root}/files")
     assert snapshots.read_snapshot(spark, root, "files").count() == 1
     assert snapshots.publish_snapshot(spark, root, "R", "s2", "bb", {"files": t.union(t)}, F.lit(T0 + dt.timedelta(1)))
     assert snapshots.read_snapshot(spark, root, "files").count() == 2 and snapshots.read_snapshot(spark, root, "files", "aa").count() == 1
 
 
+def test_one_of_two_publishers_wins(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    frame = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    original = snapshots.create
+
+    def overtaken(spark, path, text):
+        """Another writer publishes the commit just before."""
+        monkeypatch.setattr(snapshots, "create", original)
+        assert snapshots.publish_snapshot(spark, root, "R", "other", "aa", {"files": frame("theirs")}, F.lit(T0))
+        return original(spark, path, text)
+
+    monkeypatch.setattr(snapshots, "create", overtaken)
+    assert not snapshots.publish_snapshot(spark, root, "R", "mine", "aa", {"files": frame("mine 1", "mine 2")}, F.lit(T0))
+    assert [r.path for r in snapshots.read_snapshot(spark, root, "files").collect()] == ["theirs"] and snapshots.manifest(spark, root).count() == 1
+
+
+def test_a_crash_before_the_manifest_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    t = spark.createDataFrame([("a",)], "path string")
+    assert snapshots.publish_snapshot(spark, root, "R", "s0", "00", {"files": t}, F.lit(T0))
+    monkeypatch.setattr(snapshots, "create", lambda *_: 1 / 0)
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            snapshots.publish_snapshot(spark, root, "R", "s1", "aa", {"files": t.union(t)}, F.lit(T0 + dt.timedelta(1)))
+    monkeypatch.undo()
+    assert snapshots.read_snapshot(spark, root, "files").count() == 1
+    with open(f"{root}/snapshots/half.json", "w") as f:
+        f.write('{"repository_id": "R", "snapshot_id": "s1", "commit_')
+    assert snapshots.read_snapshot(spark, root, "files").count() == 1
+    assert snapshots.publish_snapshot(spark, root, "R", "s1", "aa", {"files": t.union(t)}, F.lit(T0 + dt.timedelta(1)))
+    assert snapshots.read_snapshot(spark, root, "files").count() == 2
+
+
+def test_counts_are_taken_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([("r", 1), ("r", 2), ("s", None)], "repo string, size long")
+    got = sinks.write_counted(df, str(tmp_path / "t"), {"bytes": F.sum("size")}, {"rows": 2, "bytes": 3})
+    assert got == {"rows": 3, "bytes": 3, "over": True} and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert sinks.write_counted(df.limit(0), str(tmp_path / "e")) == {"rows": 0, "over": False}
+
+
 def test_sinks(spark, tmp_path):
     ev = spark.createDataFrame([(1, "=x", T0), (2, "ok", T0 + dt.timedelta(1))], "id int, action string, created_at timestamp")
     sinks.export_audit(ev, str(tmp_path / "csv"), "csv", 5)

@@ -7,7 +7,9 @@ exports (path, local_name, span), imports (path, module, span, ordinal), diagnos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.ids import span_text, stable_id
@@ -119,6 +121,62 @@ def page(nodes: DataFrame, edges: DataFrame, after: tuple[str, str] | None = Non
     return rows.join(n, "node_key", "left").select("node_key", "kind", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
 
 
+#: Nodes of a stored run, on average.
+RUN = 1 << 18
+
+
+def store_nodes(nodes: DataFrame, path: str, run: int = RUN) -> None:
+    """Write nodes (kind, natural_key, ...) sorted by (kind, natural_key) as runs of about `run` nodes, and an index of the runs.
+
+    The index (run, n, first, last), last and first being (kind, natural_key), lets a page be read from the run or two that hold it.
+    """
+    spark = nodes.sparkSession
+    runs = max(1, -(-nodes.count() // run))
+    dealt = nodes.repartitionByRange(runs, "kind", "natural_key").withColumn("run", F.spark_partition_id())
+    dealt.sortWithinPartitions("kind", "natural_key").write.partitionBy("run").parquet(f"{path}/rows")
+    key = F.struct("kind", "natural_key")
+    spark.read.parquet(f"{path}/rows").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).coalesce(1).write.parquet(f"{path}/index")
+
+
+@dataclass(frozen=True)
+class Page:
+    nodes: DataFrame
+    #: The (kind, natural_key) after which the next page begins; None on the last page.
+    cursor: tuple[str, str] | None
+    #: The stored runs that were read.
+    runs: list[int]
+
+
+def read_page(spark: SparkSession, path: str, after: tuple[str, str] | None = None, limit: int = 1000, offset: int = 0) -> Page:
+    """The nodes after a (kind, natural_key) in that order, at most `limit` (1000), from stored runs; `offset` nodes of them are passed over.
+
+    One node more than asked for is looked at, which tells whether there is a next page. The driver holds the index's rows of a page.
+    """
+    limit = min(limit, 1000)
+    key = F.struct("kind", "natural_key")
+    beyond = lambda c: c > F.struct(F.lit(after[0]).alias("kind"), F.lit(after[1]).alias("natural_key")) if after else F.lit(True)
+    index = spark.read.parquet(f"{path}/index").where(beyond(F.col("last"))).withColumn("whole", beyond(F.col("first")))
+    # Nodes of runs that begin after the cursor count in full, those of the run that the cursor is in not at all.
+    before = F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).over(Window.orderBy("first")) - F.when(F.col("whole"), F.col("n")).otherwise(0)
+    ahead = index.withColumn("before", before)  # a row per run
+    # Without a cursor whole runs are passed over; after one the count in its run is not known.
+    passed = F.lit(after is None) & (F.col("before") + F.col("n") <= offset)
+    chosen = ahead.where(F.col("before") <= offset + limit).select("run", "n", passed.alias("passed")).collect()
+    skipped = sum(r.n for r in chosen if r.passed)
+    runs = sorted(r.run for r in chosen if not r.passed)
+    if not runs:
+        return Page(spark.read.parquet(f"{path}/rows").where(F.lit(False)).drop("run"), None, [])
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/run={r}" for r in runs)).drop("run").where(beyond(key))
+    rows = rows.orderBy("kind", "natural_key").offset(offset - skipped).limit(limit + 1)
+    last = rows.select("kind", "natural_key").orderBy("kind", "natural_key").collect()  # limit + 1 keys
+    return Page(rows.limit(limit), tuple(last[limit - 1]) if len(last) > limit else None, runs)
+
+
+def first_diagnostics(diagnostics: DataFrame, limit: int = 250) -> DataFrame:
+    """The diagnostics that a page shows: the first by (path, code, message), at most 250."""
+    return diagnostics.orderBy("path", "code", "message").limit(min(limit, 250))
+
+
 def evidence_lookup(evidence: DataFrame, ids: list[str], published: DataFrame | None = None) -> DataFrame:
     """The evidence rows of ids, of published snapshots only."""
     found = evidence.where(F.col("evidence_id").isin(ids))

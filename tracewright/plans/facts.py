@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tracewright.functions.paths import language, normalised_repository
 from tracewright.functions.text import redact
 from tracewright.operators import audit, graph, history, retrieval, scoring, views
 from tracewright.plans import driver_map as m
-from tracewright.sources import readers, snapshots
+from tracewright.sources import readers, sinks, snapshots
 from tracewright.sources.readers import load_table
 
 #: Whose impact is asked for, and the size up to which the first of two snapshots holds parts.
@@ -96,6 +97,27 @@ def structural_page(spark: SparkSession, d: str) -> DataFrame:
     return graph.page(g["nodes"], edges)
 
 
+#: Nodes of a page and of a stored run, and the nodes that the third page passes over.
+PAGE_NODES, RUN_NODES, PASSED = 150, 1000, 330
+
+
+def stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of all nodes, the one that its cursor leads to, and one by offset, each read from the runs that hold it."""
+    to = folder(spark, "nodes")
+    graph.store_nodes(structure(spark, d)["nodes"].select("kind", "natural_key"), to, RUN_NODES)
+    first = graph.read_page(spark, to, None, PAGE_NODES)
+    pages = [first, graph.read_page(spark, to, first.cursor, PAGE_NODES), graph.read_page(spark, to, None, PAGE_NODES, PASSED)]
+    return reduce(DataFrame.unionByName, (p.nodes.withColumn("page", F.lit(i).cast("long")) for i, p in enumerate(pages)))
+
+
+def observed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of three tables and bytes of a manifest, counted in the passes that write them, and whether they are over their bounds."""
+    to, files = folder(spark, "observed"), manifest(spark, d)
+    got = {name: sinks.write_counted(load_table(spark, d, name), f"{to}/{name}", most={"rows": 1000}) for name in ("orders", "customer", "nation")}
+    got["manifest"] = sinks.write_counted(files, f"{to}/manifest", {"bytes": F.sum("size")}, {"bytes": 100_000_000})
+    return spark.createDataFrame([(n, g["rows"], g.get("bytes", 0), g["over"]) for n, g in got.items()], "what string, n long, bytes long, over boolean")
+
+
 def supplier_history(spark: SparkSession, d: str) -> DataFrame:
     """commit = order, path = supplier, when the order was made."""
     at = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("authored_at"))
@@ -248,7 +270,7 @@ def newest_orders(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        structural_nodes, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, file_evidence,
+        structural_nodes, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
         pair_evidence, impact_evidence, scoped_changes, report_view, commit_churn, snapshot_newest, snapshot_by_sha, retrieval_documents,
         source_selection, volume_guard, commit_dump, manifest_rows, ref_rows, part_functions, newest_orders,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans.facts import NEWEST, SCOPE_FROM, SELECTED, SMALL
+from tracewright.plans.facts import NEWEST, PAGE_NODES, PASSED, SCOPE_FROM, SELECTED, SMALL
 
 
 def node_id(kind: str, key: str) -> str:
@@ -50,6 +50,11 @@ SQL: dict[str, str] = {
     "structural_page": f"""WITH {STRUCTURE}, pg AS (SELECT kind, natural_key AS node_key FROM nodes ORDER BY kind, natural_key LIMIT 1000),
         n AS (SELECT from_key, count(*) AS n FROM edges WHERE kind = 'IMPORTS' AND from_key IN (SELECT node_key FROM pg) AND to_key IN (SELECT node_key FROM pg) GROUP BY from_key)
         SELECT node_key, kind, coalesce(n, 0) AS n_edges FROM pg LEFT JOIN n ON from_key = node_key""",
+    "stored_pages": f"""WITH {STRUCTURE}, r AS (SELECT kind, natural_key, row_number() OVER (ORDER BY kind, natural_key) - 1 AS r FROM nodes)
+        SELECT kind, natural_key, r // {PAGE_NODES} AS page FROM r WHERE r < 2 * {PAGE_NODES} UNION ALL SELECT kind, natural_key, 2 FROM r WHERE r >= {PASSED} AND r < {PASSED} + {PAGE_NODES}""",
+    "observed_counts": f"""WITH {MANIFEST} SELECT 'orders' AS what, count(*) AS n, CAST(0 AS BIGINT) AS bytes, count(*) > 1000 AS over FROM orders
+        UNION ALL SELECT 'customer', count(*), 0, count(*) > 1000 FROM customer UNION ALL SELECT 'nation', count(*), 0, count(*) > 1000 FROM nation
+        UNION ALL SELECT 'manifest', count(*), CAST(sum(size) AS BIGINT), sum(size) > 100000000 FROM mf""",
     "file_evidence": f"WITH {HISTORY} SELECT path, array_to_string(list(commit ORDER BY made, commit)[1:20], '|') AS evidence FROM h GROUP BY path",
     "pair_evidence": f"WITH {HISTORY} SELECT left_path, right_path, commit_count, array_to_string(evidence, '|') AS evidence FROM pe",
     "impact_evidence": f"""WITH {HISTORY}, cn AS (SELECT path, count(*) AS n FROM h GROUP BY path),
