@@ -113,5 +113,40 @@ def test_specifiers(ev):
     assert ev(paths.import_specifiers(F.col("t")), t=code) == ["./a", "./side.css", "b", "./c"]
 
 
+def scanned(code):
+    """The specifiers by a walk over the characters: a comment, a string or a template string is passed over as a whole."""
+    out, i, before = [], 0, ""
+    while i < len(code):
+        if code.startswith("/*", i):
+            i = code.find("*/", i + 2) + 2
+        elif code.startswith("//", i):
+            i = code.find("\n", i) if "\n" in code[i:] else len(code)
+        elif code[i] in "'\"`":
+            j = i + 1
+            while code[j] != code[i]:
+                j += 2 if code[j] == "\\" else 1
+            if before.endswith(("from ", "import ", "require(", "import(")) and not before.endswith(("x.require(", "export * from ", "_import ")):
+                out.append(code[i + 1 : j])
+            before, i = before + "''", j + 1
+        else:
+            before, i = before + code[i], i + 1
+    return out
+
+
+def test_specifiers_are_not_taken_from_comments_and_strings(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = [
+        "import a from './a';", "import {b, c as d} from \"./b\";", "import './side';", "const e = require('./e');", "await import(`./f`);", "// import g from './g'\n", "/* import h from './h'\n require('./i') */",
+        "const s = \"import j from './j'\";", "const t = 'require(\"./k\")';", "const u = `import l from './l'\n// ${m}`;", "const v = 'it\\'s // no comment';", "x.require('./n');", "export * from './o';", "\n", "const w = 'http://p'; // q\n",
+        "import * as r from './r';", "let my_import = 1;", "const y = \"/* open\";", "import def, {z} from './z';",
+    ]
+    codes = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(300)] + ["", "import", "// only a comment"]
+    df = spark.createDataFrame(list(enumerate(codes)), "i int, t string").select("i", paths.import_specifiers(F.col("t")).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    assert got == {i: scanned(c) for i, c in enumerate(codes)} and sum(map(len, got.values())) > 500
+
+
 def test_language(ev):
     assert [ev(paths.language(F.col("p")), p=p) for p in ("a.tsx", "a.mts", "a.cjs", "a.py")] == ["tsx", "typescript", "javascript", None]

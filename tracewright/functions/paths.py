@@ -92,7 +92,23 @@ def normalised_repository(url: Column, host: str) -> Column:
 
 
 def import_specifiers(source: Column) -> Column:
-    """Specifiers of import statements, side-effect imports, require() and import() in a source text, comments left out."""
-    code = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?s)/\*.*?\*/|(?m)(?<![:'\"`])//[^\n]*$", "")
-    pattern = r"""(?:\bimport\s+(?:[\w$*{}\s,]+?\s+from\s+)?|\brequire\s*\(\s*|\bimport\s*\(\s*)['"`]([^'"`\n]+)['"`]"""
-    return F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+    """Specifiers of import statements, side-effect imports, require() and import() in a source text, in order.
+
+    One pass from left to right takes whole comments, imports, strings and template strings, so that what stands inside a comment or a string is
+    never an import. export ... from is none either. A regular expression literal that holds a quote or // is read as code.
+    """
+    quoted = r"""(?:"([^"\\\n]+)"|'([^'\\\n]+)')"""
+    called = r"""(?:"([^"\\\n]+)"|'([^'\\\n]+)'|`([^`\\$]+)`)"""
+    pieces = (
+        r"/\*(?s:.*?)\*/", r"//[^\n]*",
+        r"(?<![\w$.])import\s*(?:[\w$*{}\s,]+?\s*\bfrom\s*)?" + quoted,
+        r"(?<![\w$.])(?:require|import)\s*\(\s*" + called,
+        r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?s:\\.|[^`\\])*`",
+    )
+    text, pattern = F.coalesce(source, F.lit("")), F.lit("|".join(pieces))
+    taken = [F.regexp_extract_all(text, pattern, F.lit(g)) for g in range(1, 6)]
+    # A match fills one of the groups, or none where it is no import; the others are empty.
+    joined = taken[0]
+    for more in taken[1:]:
+        joined = F.zip_with(joined, more, lambda x, y: F.concat(x, y))
+    return F.filter(joined, lambda x: x != "")

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.ids import span_text, stable_id
 from tracewright.functions.paths import import_base, import_candidates, import_class, import_specifiers
+from tracewright.sources.buckets import remove
 
 
 def link_facts(files: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
-    """part, path, module, ordinal: import specifiers found in source texts (path, text). Approximates a parser."""
+    """part, path, module, ordinal: import specifiers found in source texts (path, text), as functions.paths.import_specifiers() finds them."""
     found = files.select(*part, "path", F.posexplode(import_specifiers(F.col("text"))).alias("ordinal", "module"))
     return found
 
@@ -131,11 +132,14 @@ def store_nodes(nodes: DataFrame, path: str, run: int = RUN) -> None:
     The index (run, n, first, last), last and first being (kind, natural_key), lets a page be read from the run or two that hold it.
     """
     spark = nodes.sparkSession
+    nodes.write.parquet(f"{path}/staged")  # counting, sampling and sorting read it
+    nodes = spark.read.schema(nodes.schema).parquet(f"{path}/staged")
     runs = max(1, -(-nodes.count() // run))
     dealt = nodes.repartitionByRange(runs, "kind", "natural_key").withColumn("run", F.spark_partition_id())
     dealt.sortWithinPartitions("kind", "natural_key").write.partitionBy("run").parquet(f"{path}/rows")
     key = F.struct("kind", "natural_key")
     spark.read.parquet(f"{path}/rows").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).coalesce(1).write.parquet(f"{path}/index")
+    remove(spark, f"{path}/staged")
 
 
 @dataclass(frozen=True)

@@ -70,6 +70,30 @@ def structural_nodes(spark: SparkSession, d: str) -> DataFrame:
     return structure(spark, d)["nodes"].select("node_id", "kind", "natural_key", F.size("evidence_ids").cast("long").alias("n_evidence"))
 
 
+def structural_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, properties and evidence of nodes and edges as they are stored."""
+    g = structure(spark, d)
+    nodes = g["nodes"].select("kind", F.col("node_id").alias("id"), F.col("properties").alias("about"), F.array_join("evidence_ids", "|").alias("evidence"))
+    return nodes.unionByName(g["edges"].select("kind", F.col("edge_id").alias("id"), F.concat_ws(">", "from_node", "to_node").alias("about"), F.col("evidence_id").alias("evidence")))
+
+
+def source_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Source files made of the pages, read back as bytes: how often each module is imported, and that contents equal their digests.
+
+    A line imports a page's section and a numbered part of its host; what its comments and strings import does not count.
+    """
+    to = folder(spark, "sources")
+    p = load_table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"))
+    part = F.concat(F.lit("./part"), (F.col("page_id") % 50).cast("string"))
+    line = F.concat(
+        F.lit('import page from "./'), "host", F.lit("\"; // import x from './no1'\nconst s = \"import y from './no2'\"; /* require('./no3') */ const t = require('"), part, F.lit("'); const u = `require('./no4')`;")
+    )
+    p.where("host != ''").select(line.alias("value")).write.option("maxRecordsPerFile", 500).text(to)
+    files = readers.read_sources(spark, to, "*.txt").select(F.col("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_sha256"))
+    found = graph.link_facts(files.where(F.sha2(F.encode("text", "UTF-8"), 256) == F.col("content_sha256")))
+    return found.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+
+
 def structural_edges(spark: SparkSession, d: str) -> DataFrame:
     g = structure(spark, d)
     ends = {side: g["nodes"].select(F.col("node_id").alias(f"{side}_node"), F.col("natural_key").alias(f"{side}_key")) for side in ("from", "to")}
@@ -270,7 +294,7 @@ def newest_orders(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        structural_nodes, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
+        structural_nodes, structural_facts, source_imports, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
         pair_evidence, impact_evidence, scoped_changes, report_view, commit_churn, snapshot_newest, snapshot_by_sha, retrieval_documents,
         source_selection, volume_guard, commit_dump, manifest_rows, ref_rows, part_functions, newest_orders,
     )

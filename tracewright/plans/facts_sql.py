@@ -27,6 +27,34 @@ edges AS (
   UNION ALL SELECT 'EXPORTS', path, key FROM sy WHERE n % 2 = 0
   UNION ALL SELECT DISTINCT 'IMPORTS', path, to_key FROM im WHERE to_key IS NOT NULL
 )"""
+
+
+def evidence_id(path: str, n: str, kind: str) -> str:
+    """The id of a range that begins on line n, as the facts have it."""
+    span = f"'SourceSpan(start_line=' || {n} || ', start_column=0, end_line=' || ({n} + 1) || ', end_column=1)'"
+    return f"'ev_' || substr(sha256('r' || chr(31) || 's' || chr(31) || {path} || chr(31) || {span} || chr(31) || '{kind}'), 1, 24)"
+
+
+def edge(kind: str, source: str, target: str, evidence: str, rows: str) -> str:
+    return f"""SELECT '{kind}', 'edge_' || substr(sha256('r' || chr(31) || 's' || chr(31) || '{kind}' || chr(31) || {source} || chr(31) || {target}), 1, 24), {source} || '>' || {target}, {evidence} FROM {rows}"""
+
+
+#: kind, id, about, evidence of nodes and edges. A module's properties are those of the importer that comes last by path.
+FACTS = f"""
+fx AS (SELECT *, {node_id("FILE", "path")} AS file_id, path || '#function:' || symbol || ':' || n || ':0' AS key FROM p),
+mx AS (SELECT i.*, CASE WHEN class = 'external' THEN 'lib' || n ELSE './style.css' END AS specifier FROM im i WHERE class IN ('external', 'asset')),
+facts AS (
+  SELECT 'FILE' AS kind, file_id AS id, '{{"language":"typescript","content_sha256":"' || sha256(path) || '","parse_status":"' || CASE WHEN n = 1 THEN 'PARTIAL' ELSE 'COMPLETE' END || '"}}' AS about,
+    'ev_' || substr(sha256('r' || chr(31) || 's' || chr(31) || path || chr(31) || sha256(path) || chr(31) || 'file'), 1, 24) AS evidence FROM fx
+  UNION ALL SELECT 'SYMBOL', {node_id("SYMBOL", "key")}, '{{"name":"' || symbol || '","symbol_kind":"function","exported":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"path":"' || path
+    || '","span":{{"start_line":' || n || ',"start_column":0,"end_line":' || (n + 1) || ',"end_column":1}}}}', {evidence_id("path", "n", "symbol")} FROM fx
+  UNION ALL SELECT 'MODULE', {node_id("MODULE", "to_key")}, '{{"specifier":"' || arg_max(specifier, path) || '","external":' || CASE WHEN arg_max(class, path) = 'external' THEN 'true}}' ELSE 'false,"asset":true}}' END,
+    string_agg({evidence_id("path", "n", "import")}, '|' ORDER BY {evidence_id("path", "n", "import")}) FROM mx GROUP BY to_key
+  UNION ALL {edge("DECLARES", "file_id", node_id("SYMBOL", "key"), evidence_id("path", "n", "symbol"), "fx")}
+  UNION ALL {edge("EXPORTS", "file_id", node_id("SYMBOL", "key"), evidence_id("path", "n", "export"), "fx WHERE n % 2 = 0")}
+  UNION ALL {edge("IMPORTS", node_id("FILE", "path"), node_id("MODULE", "to_key"), evidence_id("path", "n", "import"), "mx")}
+  UNION ALL {edge("IMPORTS", node_id("FILE", "path"), node_id("FILE", "to_key"), evidence_id("path", "n", "import"), "im WHERE class = 'resolved'")}
+)"""
 HISTORY = """
 h AS (SELECT DISTINCT l_orderkey AS commit, lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS path, o_orderdate AS made FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 pe AS (
@@ -40,6 +68,9 @@ mf AS (
 
 SQL: dict[str, str] = {
     "structural_nodes": f"""WITH {STRUCTURE} SELECT CASE kind WHEN 'FILE' THEN {node_id("FILE", "natural_key")} WHEN 'SYMBOL' THEN {node_id("SYMBOL", "natural_key")} ELSE {node_id("MODULE", "natural_key")} END AS node_id, kind, natural_key, n_evidence FROM nodes""",
+    "structural_facts": f"WITH {STRUCTURE}, {FACTS} SELECT * FROM facts",
+    "source_imports": """WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages), m AS (SELECT unnest(['./' || host, './part' || (page_id % 50)]) AS module FROM h WHERE host <> '')
+        SELECT module, count(*) AS n FROM m GROUP BY module""",
     "structural_edges": f"WITH {STRUCTURE} SELECT kind, from_key, to_key, 1.0e0 AS confidence FROM edges",
     # A file's evidence; the spans of its symbol, of its export, of its import and of its diagnostic.
     "structural_evidence": f"""WITH {STRUCTURE} SELECT 'source_file' AS kind, count(*) AS n FROM p
