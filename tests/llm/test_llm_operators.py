@@ -94,6 +94,22 @@ def test_toxicity(spark):
     assert none.score("grubworm") < 0.5
 
 
+def test_short_texts_are_learned_from_each_on_its_own(spark):
+    """Texts of fewer than five words have no shingle; copies of one still count once."""
+    words = [f"calm{i}" for i in range(200)]
+    texts = [(i, f"you grubworm {words[i]}" if i % 2 else f"you {words[i]} friend") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    assert model.score("grubworm") >= 0.5 > model.score("calm3 friend")
+    copies = [(i, "you grubworm" if i % 2 else "you friend") for i in range(200)]
+    assert toxicity.fit(docs(spark, copies), labels).weights == {}  # one text of each label
+
+
+def test_phrases_take_whole_words():
+    long = "x" * 90
+    assert toxicity.phrases(f" one  two   {long} z", 5)[2] == f"two {long}" and toxicity.phrases(" two ", 0)[2] == "two "
+
+
 def test_toxicity_exceptions():
     m = toxicity.Model({" trash": 5.0}, frozenset({"trash can"}))
     assert m.matches(toxicity.fold("a Trash can")) == {} and m.matches(toxicity.fold("tr4sh!"))

@@ -133,7 +133,13 @@ def phrases(text: str, at: int) -> tuple[str, str, str]:
     word = text[at + 1 : end]
     before = text[:at].rstrip(" ")
     before = before[before.rfind(" ") + 1 :]
-    after = text[end:].lstrip(" ")[:40].split(" ", 1)[0] if end >= 0 else ""
+    after = ""
+    if end >= 0:
+        begin = end
+        while begin < len(text) and text[begin] == " ":
+            begin += 1
+        stop = text.find(" ", begin)
+        after = text[begin:] if stop < 0 else text[begin:stop]
     return f"{word}", f"{before} {word}", f"{word} {after}"
 
 
@@ -181,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, least_g: f
     share = {k: min(1.0, sample_rows / v) for k, v in n.items()}
     drawn = F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1_000_000)) < F.when(F.col("label") == 1, share[1] * 1e6).otherwise(share[0] * 1e6)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(y.where(drawn)), id_col).select("text", "label")
-    rows = rows.withColumn("least", F.arrow_udf(least_shingle, "long")("text")).dropDuplicates(["least", "label"]).select("text", "label").persist()
+    # Near copies share their least shingle and count once; a text without one is its own. Which text stands for them is settled by order.
+    least = F.arrow_udf(least_shingle, "long")("text")
+    rows = rows.withColumn("least", F.when(least == 0, F.xxhash64("text")).otherwise(least)).groupBy("least", "label").agg(F.min("text").alias("text")).select("text", "label").persist()
     try:
         have = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         t, h = have.get(1, 0), have.get(0, 0)
