@@ -111,7 +111,7 @@ def structural_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def import_relations(spark: SparkSession, d: str) -> DataFrame:
     """Imports between files; those of modules dangle, as only files are given, and are dropped."""
     g = structure(spark, d)
-    return graph.import_relations(g["edges"], g["nodes"].where("kind = 'FILE'")).select("source", "target", "weight")
+    return graph.import_relations(g["edges"], g["nodes"].where("kind = 'FILE'")).select("source", "target", "weight", F.array_join("evidence", "|").alias("evidence"))
 
 
 def structural_page(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +161,11 @@ def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     return history.pair_evidence(ch, history.co_changes(ch)).select("left_path", "right_path", "commit_count", bar("evidence").alias("evidence"))
 
 
+def module_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The first commits of each module, by path and time."""
+    return history.module_evidence(m.parts(spark, d), m.changes(spark, d)).select("module", bar("evidence").alias("evidence"))
+
+
 def impact_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What a change of one supplier touches, with the commits and imports that say so."""
     ch = supplier_history(spark, d)
@@ -295,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structural_nodes, structural_facts, source_imports, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
-        pair_evidence, impact_evidence, scoped_changes, report_view, commit_churn, snapshot_newest, snapshot_by_sha, retrieval_documents,
+        pair_evidence, module_evidence, impact_evidence, scoped_changes, report_view, commit_churn, snapshot_newest, snapshot_by_sha, retrieval_documents,
         source_selection, volume_guard, commit_dump, manifest_rows, ref_rows, part_functions, newest_orders,
     )
 }

@@ -77,7 +77,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'source_range', 2 * count(*) + count(*) FILTER (WHERE n % 2 = 0) + count(*) FILTER (WHERE n = 1) FROM p""",
     "structural_diagnostics": f"""WITH {STRUCTURE} SELECT 'SYNTAX' AS code, path, 'line ' || n AS message FROM p WHERE n = 1
         UNION ALL SELECT 'UNRESOLVED_IMPORT', path, 'Relative import could not be resolved: ./missing' FROM im WHERE class = 'unresolved'""",
-    "import_relations": f"WITH {STRUCTURE} SELECT path AS source, to_key AS target, 1.0e0 AS weight FROM im WHERE class = 'resolved'",
+    "import_relations": f"WITH {STRUCTURE} SELECT path AS source, to_key AS target, 1.0e0 AS weight, 'evidence:' || {evidence_id('path', 'n', 'import')} AS evidence FROM im WHERE class = 'resolved'",
     "structural_page": f"""WITH {STRUCTURE}, pg AS (SELECT kind, natural_key AS node_key FROM nodes ORDER BY kind, natural_key LIMIT 1000),
         n AS (SELECT from_key, count(*) AS n FROM edges WHERE kind = 'IMPORTS' AND from_key IN (SELECT node_key FROM pg) AND to_key IN (SELECT node_key FROM pg) GROUP BY from_key)
         SELECT node_key, kind, coalesce(n, 0) AS n_edges FROM pg LEFT JOIN n ON from_key = node_key""",
@@ -88,6 +88,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'manifest', count(*), CAST(sum(size) AS BIGINT), sum(size) > 100000000 FROM mf""",
     "file_evidence": f"WITH {HISTORY} SELECT path, array_to_string(list(commit ORDER BY made, commit)[1:20], '|') AS evidence FROM h GROUP BY path",
     "pair_evidence": f"WITH {HISTORY} SELECT left_path, right_path, commit_count, array_to_string(evidence, '|') AS evidence FROM pe",
+    "module_evidence": """WITH c AS (SELECT DISTINCT p_brand AS module, p_brand || '/' || p_type || '/' || p_partkey AS path, o_orderdate AS made, o_orderkey AS commit FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+        f AS (SELECT module, commit, min(row(path, made, commit)) AS first FROM c GROUP BY module, commit)
+        SELECT module, array_to_string(list(commit ORDER BY first)[1:20], '|') AS evidence FROM f GROUP BY module""",
     "impact_evidence": f"""WITH {HISTORY}, cn AS (SELECT path, count(*) AS n FROM h GROUP BY path),
         nxt AS (SELECT a.s_suppkey AS s, min(b.s_suppkey) AS t FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_suppkey),
         rel AS (
