@@ -78,9 +78,13 @@ def asks_for_recent_changes(text: Column) -> Column:
     return F.arrays_overlap(w, strings(RECENCY_WORDS)) & F.arrays_overlap(w, strings(CHANGE_WORDS))
 
 
+#: Fixed value: characters of a document that an answer quotes.
+QUOTED = 220
+
+
 def answer(texts: Column) -> Column:
     """Extractive answer from the selected documents' texts, or the refusal if there are none."""
-    facts = F.array_join(F.transform(texts, lambda t: strip(F.substring(t, 1, 220))), "; ")
+    facts = F.array_join(F.transform(texts, lambda t: strip(F.substring(t, 1, QUOTED))), "; ")
     return F.when(F.size(F.coalesce(texts, F.array().cast("array<string>"))) > 0, F.concat(F.lit(ANSWER), facts)).otherwise(REFUSAL)
 
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import AUDIT_STOP, RETRIEVAL_STOP, answer, asks_for_recent_changes, terms
+from tracewright.functions.text import AUDIT_STOP, QUOTED, RETRIEVAL_STOP, answer, asks_for_recent_changes, terms
 
 
 def overlaps(queries: DataFrame, docs: DataFrame, stop: tuple[str, ...] = AUDIT_STOP, on: tuple[str, ...] = ()) -> DataFrame:
@@ -159,7 +159,8 @@ def answers(questions: DataFrame, docs: DataFrame, k: int = 5, on: tuple[str, ..
     lately = asked.where("recent").select(*on, "query_id")
     lately = (lately.join(newest, list(on)) if on else lately.crossJoin(F.broadcast(newest))).select(*on, "query_id", "doc_id", "rank")  # k rows
     picked = best.select(*on, "query_id", "doc_id", "rank").unionByName(lately)
-    texts = picked.join(docs.select(*on, "doc_id", "text"), [*on, "doc_id"])
+    # An answer quotes the beginning of a document: no more of it is shuffled.
+    texts = picked.join(docs.select(*on, "doc_id", F.substring("text", 1, QUOTED).alias("text")), [*on, "doc_id"])
     found = texts.groupBy(*on, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("x"))
     out = questions.select(*on, "query_id").join(found, [*on, "query_id"], "left")
     return out.select(*on, "query_id", answer(F.col("x.text")).alias("answer"), F.coalesce("x.doc_id", F.array().cast(found.select("x.doc_id").schema[0].dataType)).alias("evidence"))
