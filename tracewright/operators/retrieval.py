@@ -26,7 +26,7 @@ def overlaps(queries: DataFrame, docs: DataFrame, stop: tuple[str, ...] = AUDIT_
 
 
 #: Documents and questions of a shard, on average.
-DOCUMENTS, QUESTIONS = 1 << 16, 1 << 15
+DOCUMENTS, QUESTIONS = 1 << 14, 1 << 15
 #: Documents that are worth a task of their own while cores are idle.
 LEAST = 1 << 12
 
@@ -48,7 +48,7 @@ def matches(asked: list[np.ndarray], postings: list[np.ndarray], n_docs: int, k:
 
     for q, terms_of in enumerate(asked):
         order = terms_of[np.argsort(df[terms_of], kind="stable")]
-        met, touched, least, closed = np.empty(0, np.int64), [], 0, False
+        met, touched, least, closed = np.empty(0, np.int32), [], 0, False
         for i, t in enumerate(order):
             left = len(order) - i
             if not closed and least > left:
@@ -98,28 +98,27 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, .
     right = with_sizes(q).select(*on, "query_id", "terms", every("shards").alias("shard"), deal("query_id", "parts").alias("part"))
 
     def run(documents: pa.Table, questions: pa.Table) -> pa.Table:
-        documents = documents.select(["doc_id", "terms"]).combine_chunks().sort_by("doc_id")
-        questions = questions.rename_columns([c.removeprefix("of_") for c in questions.column_names]).combine_chunks()
-
-        def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-            """(row, term) of lists."""
-            size = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            return np.repeat(np.arange(len(size)), size), pc.list_flatten(column).combine_chunks() if column.num_chunks else pa.array([], pa.string())
-
-        (ask, words), (row, terms_in) = flat(questions["terms"]), flat(documents["terms"])
-        coded = words.dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        term = pc.index_in(terms_in, value_set=coded.dictionary)
-        held = term.is_valid().to_numpy(zero_copy_only=False)
-        row, term = row[held], term.drop_null().to_numpy(zero_copy_only=False)
-        order = np.argsort(term, kind="stable")
-        n_terms = len(coded.dictionary)
-        postings = np.split(row[order], np.cumsum(np.bincount(term, minlength=n_terms))[:-1]) if n_terms else []
-        size = np.bincount(ask, minlength=questions.num_rows)
-        asked = np.split(which, np.cumsum(size)[:-1]) if questions.num_rows else []
+        questions = questions.rename_columns([c.removeprefix("of_") for c in questions.column_names])
+        size = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in questions["terms"].chunks)]).astype(np.int64)
+        words = pc.list_flatten(questions["terms"]).combine_chunks().dictionary_encode()
+        asked = np.split(words.indices.to_numpy(zero_copy_only=False), np.cumsum(size)[:-1]) if len(size) else []
+        # Documents are numbered in order of their ids; of their terms those that are asked for are kept, as numbers.
+        order = pc.sort_indices(documents["doc_id"])
+        number = np.empty(len(order), np.int32)
+        number[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        rows, held, begin = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
+        for chunk in documents["terms"].chunks:
+            term = pc.index_in(chunk.flatten(), value_set=words.dictionary)
+            row = np.repeat(number[begin : begin + len(chunk)], chunk.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            rows.append(row[term.is_valid().to_numpy(zero_copy_only=False)])
+            held.append(term.drop_null().to_numpy(zero_copy_only=False).astype(np.int32))
+            begin += len(chunk)
+        row, term = np.concatenate(rows), np.concatenate(held)
+        order_of = np.lexsort((row, term))
+        postings = np.split(row[order_of], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))[:-1]) if len(words.dictionary) else []
         a, b, n = matches(asked, postings, documents.num_rows, k)
         out = {c: questions[c].take(pa.array(a)) for c in (*on, "query_id")}
-        return pa.table(out | {"doc_id": documents["doc_id"].take(pa.array(b)), "score": n / size[a]})
+        return pa.table(out | {"doc_id": documents["doc_id"].take(order.take(pa.array(b))), "score": n / size[a]})
 
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *docs.schema.fields)}
     keys = [*on, "shard", "part"]
