@@ -339,7 +339,7 @@ def fed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) ->
 
 
 #: Longer than a third of the events' time, by which late ones are late.
-LATENESS = "20 days"
+LATENESS = "11 days"
 
 
 def stream_first_writes(spark: SparkSession, d: str) -> DataFrame:
