@@ -7,7 +7,8 @@ the rows stand in buckets by falling length. An anchor's weakest score that stil
 is the least cosine that a row of a bucket must reach: a bucket too short for it is passed over with all that
 follow. In the others, the anchor's largest coordinates are its focus: only a range of values in each is
 feasible, the range is cut out of the bucket's sorted list of that coordinate, the ranges are intersected, and the rows left
-are scored exactly. Where the narrowest range holds most of a bucket, intersecting cannot pay and the bucket is scored as a whole.
+are scored exactly. Where the narrowest range holds little of a bucket it is cut out of the list and the other ranges are tested on it; where
+it holds most, the ranges of many anchors are intersected together, by the rows' places in the lists.
 Rounding only ever widens the ranges; scores are exact.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component take no part; vectors of
@@ -30,7 +31,7 @@ from tracewright.llm.vectors import quantised, stacked
 ROWS, ANCHORS, BUCKET = 1 << 16, 1 << 12, 1024
 #: Rows that are worth a task of their own while cores are idle.
 LEAST = 2048
-#: Coordinates in focus; share of a bucket from which intersecting ranges does not pay; anchors scored together.
+#: Coordinates in focus; share of a bucket from which ranges are intersected for many anchors together, and how many these are.
 FOCUS, DENSE, TOGETHER = 4, 0.5, 256
 NONE = -np.inf
 
@@ -77,9 +78,10 @@ def search(ids: np.ndarray, vecs: np.ndarray, labels: np.ndarray, own: np.ndarra
     best = Best(lo.size, k)
     used = ~np.isnan(lo)
 
-    def offer(a: np.ndarray, r: np.ndarray, score: np.ndarray) -> None:
-        """Scores of anchors a by rows r, to every slot."""
+    def offer(a: np.ndarray, r: np.ndarray, score: np.ndarray, candidates: np.ndarray | bool = True) -> None:
+        """Scores of anchors a by rows r, to every slot, where they are candidates."""
         ok = (labels[r][None, :] == theirs[a][:, None]) & (ids[r][None, :] != own[a][:, None]) if same else labels[r][None, :] != theirs[a][:, None]
+        ok = ok & candidates
         for s in range(slots):
             floor = np.maximum(lo[a, s], best.least[a * slots + s])[:, None]
             fits = np.where(ok & (score >= floor) & (score <= hi[a, s][:, None]), score, NONE)  # NaN fits nothing
@@ -115,10 +117,21 @@ def search(ids: np.ndarray, vecs: np.ndarray, labels: np.ndarray, own: np.ndarra
             first[at], last[at] = np.searchsorted(value, low[at], "left"), np.searchsorted(value, high[at], "right")
         width = last - first
         whole = width.min(1, initial=len(rows)) > DENSE * len(rows)
-        dense = live[whole]
-        for i in range(0, len(dense), TOGETHER):
-            a = dense[i : i + TOGETHER]
-            offer(a, rows, q[a] @ x[rows].T)
+        wide = np.flatnonzero(whole)
+        for begin_at in range(0, len(wide), TOGETHER):
+            these = wide[begin_at : begin_at + TOGETHER]
+            fits = np.ones((len(these), len(rows)), bool)
+            for j in range(f.shape[1]):
+                cuts = np.flatnonzero(width[these, j] < len(rows))
+                for c in np.unique(f[these[cuts], j]):
+                    at = cuts[f[these[cuts], j] == c]
+                    place = np.empty(len(rows), np.int64)
+                    place[lists[c]] = np.arange(len(rows))
+                    fits[at] &= (place >= first[these[at], j, None]) & (place < last[these[at], j, None])
+            found = np.flatnonzero(fits.any(0))
+            if len(found):
+                a, r = live[these], rows[found]
+                offer(a, r, q[a] @ x[r].T, fits[:, found])
         for i in np.flatnonzero(~whole):
             c = int(width[i].argmin())
             found = lists[f[i, c]][first[i, c] : last[i, c]]
