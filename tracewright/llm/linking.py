@@ -121,13 +121,13 @@ def dealt(rows: DataFrame, size: int, what: str) -> DataFrame:
     return x.join(y, "key").where("block <= block2").select("key", (F.col("block") == F.col("block2")).alias("same"), "x", "y")
 
 
-def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], linked: Linked) -> DataFrame:
+def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame], linked: Linked, head: tuple[int, Parse] | None = None) -> DataFrame:
     """(id, component) of the ids that have a link, by the smallest id reachable.
 
     keyed: (key, id) rows, one for each bucket that an id is in, cheap to make twice; sig: (id, sig) with distinct ids.
     parse turns a column of signatures into an array; stay gives the indices of the pairs that may be
     linked; keys gives the bucket keys of signatures; verify confirms pairs (a, b) and writes them; contents gives (id, content) for
-    ids and linked compares the contents of two blocks.
+    ids and linked compares the contents of two blocks. head: how many bytes of a signature are enough for stay, and what parses them.
     """
     kind = sig.schema["id"].dataType.simpleString()
     keyed = keyed.select("key", "id")
@@ -136,8 +136,9 @@ def connect(keyed: DataFrame, sig: DataFrame, parse: Parse, stay: Stay, keys: Ca
     # A hub's pairs are all looked at here, so that only the other members go on.
     crowded = cut(keyed.join(buckets.where("n > 2").select("key", "hub"), "key").where("id != hub"), "crowded")
     hubs = crowded.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(buckets.where("n = 2 and hub != top").select(F.col("hub").alias("a"), F.col("top").alias("b"))).distinct()
-    hubs = hubs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = cut(prune(hubs, parse, stay), "survivors")
+    brief = sig.select("id", F.substring("sig", 1, head[0]).alias("sig")) if head else sig
+    hubs = hubs.join(brief.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(brief.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = cut(prune(hubs, head[1] if head else parse, stay), "survivors")
     links = verify(pairs)
     discard(pairs)
     # Buckets whose other members are of several components go on.
