@@ -245,6 +245,27 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert all(back[i].decode() == t for i, t in enumerate(texts))
 
 
+def test_long_words_equal_tiktoken():
+    """Words around and far above the length from which one is merged by itself, one of a million letters among them."""
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    v = byte_bpe.Vocabulary(path)
+    for n in (999, 1000, 1001, 1002, 5000, 40_000, 1_000_000):
+        for letters in ("ab", "etaoinshrdlu", "e", "tré一ж"):
+            if n > 40_000 and letters != "etaoinshrdlu":
+                continue
+            text = "".join(rng.choice(letters) for _ in range(n))
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ids, at = v.encode(raw, np.array([0, len(raw)]))
+            assert ids.tolist() == enc.encode_ordinary(text), (n, letters)
+            assert v.decode(ids).tobytes() == text.encode()
+
+
 def test_line_dedup(spark):
     line = " ".join(WORDS[:40])
     near = line.replace("w7 ", "w8 ")

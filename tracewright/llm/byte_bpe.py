@@ -4,7 +4,7 @@ Texts become codepoint-class arrays. Where a token starts follows from scans who
 the identity or a constant (the composition of two such transition functions is the later constant),
 so each scan is one running maximum over positions; no regular expression runs. The resulting byte
 slices are hashed, made distinct, looked up in a bounded cache, and only unseen slices go through
-pair merging, which is itself vectorised over all unseen slices. Decoding concatenates the tokens'
+pair merging, which is itself vectorised over all unseen slices but the longest, merged by a heap each. Decoding concatenates the tokens'
 bytes from an offset table, so that each document's bytes are found again by its token offsets.
 
 Nulls count as empty texts; an empty text has no tokens. Rows are kept one to one, repeated rows and
@@ -17,7 +17,8 @@ import base64
 import hashlib
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from tracewright.llm.textarrays import CHUNK, U, chunks, mix, prefix_hash, span_
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Slices whose ids one worker keeps; beyond it the cache starts anew.
 CACHE = 400_000
+#: Slices of more bytes are merged one by one, the others many at once.
+ALONE = 1_000
 
 
 @lru_cache(1)
@@ -163,8 +166,15 @@ class Vocabulary:
             # slices of like length side by side, about a million cells at a time
             hi = lo + 1
             longest = int(size[order[lo]])
+            if longest > ALONE:
+                ids = self._merge_alone(data[start[order[lo]] : end[order[lo]]])
+                sizes[order[lo]] = len(ids)
+                parts.append(ids)
+                owners.append(np.repeat(order[lo], len(ids)))
+                lo = hi
+                continue
             hi = min(len(order), lo + max(1, 300_000 // max(1, longest)))
-            hi = lo + int(np.searchsorted(size[order[lo:hi]], max(longest + 4, longest * 5 // 4), "right"))
+            hi = lo + int(np.searchsorted(size[order[lo:hi]], min(ALONE, max(longest + 4, longest * 5 // 4)), "right"))
             rows = order[lo:hi]
             lo = hi
             ids, n = self._merge(data, start[rows], size[rows])
@@ -208,6 +218,38 @@ class Vocabulary:
         kept = ids >= 0
         return ids[kept], kept.sum(1)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """What a pair of ids, the first of them shifted, merges into."""
+        held = self.keys != ~U(0)
+        return dict(zip(self.keys[held].tolist(), self.merged[held].tolist(), strict=True))
+
+    def _merge_alone(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one long slice by a heap of its pairs: n log n steps instead of a look at all pairs for each merge."""
+        first = self.single[data]
+        ids, n, none, pairs = first.tolist(), len(first), np.iinfo(np.int64).max, self.pairs
+        rank = [*self.rank(first[:-1], first[1:]).tolist(), none]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(rank) if r != none]
+        heapify(heap)
+        while heap:
+            low = heappop(heap)
+            i = low & 0xFFFFFFFF
+            if rank[i] != low >> 32:
+                continue  # of a pair that has changed since
+            gone = after[i]
+            ids[i], ids[gone], rank[gone] = rank[i], -1, none
+            after[i] = after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (i, before[i]):
+                if at >= 0:
+                    rank[at] = pairs.get(ids[at] << 32 | ids[after[at]], none) if after[at] < n else none
+                    if rank[at] != none:
+                        heappush(heap, rank[at] << 32 | at)
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets into them)."""
         start = boundaries(data, off)
