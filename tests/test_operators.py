@@ -156,6 +156,22 @@ def test_structural_graph(spark):
     assert sorted(map(str, again["edges"].collect())) == sorted(map(str, g["edges"].collect()))
 
 
+def test_node_evidence_is_bounded(spark):
+    """A module with many importers: the first pieces of evidence equal those of the whole, cut before the module's rows meet."""
+    files, symbols, exports, imports, diags = facts(spark)
+    span = imports.schema["span"].dataType.simpleString()
+    many = spark.range(30_000).selectExpr("'R' AS repository_id", "'ab12' AS snapshot_id", "concat('app/f', id % 10000, '.ts') AS path", "if(id % 3 = 0, 'left', 'react') AS module", f"cast(named_struct('a', id, 'b', 0, 'c', id, 'd', 9) AS {span}) AS span", "cast(id AS int) AS ordinal")
+    parts = (files, symbols, exports, imports.unionByName(many), diags)
+    whole, first = graph.structural_graph(*parts), graph.structural_graph(*parts, most_evidence=5)
+    want = {r.node_id: r for r in whole["nodes"].collect()}
+    got = {r.node_id: r for r in first["nodes"].collect()}
+    assert set(got) == set(want) and all(got[k].properties == want[k].properties and got[k].evidence_ids == want[k].evidence_ids[:5] for k in want)
+    n = {r.node_id: r["count"] for r in first["node_evidence"].groupBy("node_id").count().collect()}
+    assert n == {k: len(r.evidence_ids) for k, r in want.items()} and max(n.values()) == 20_002
+    plan = first["nodes"]._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit")[-1].split("\n")[0] and "collect_set" not in plan
+
+
 def test_graph_input_is_checked(spark):
     bad = spark.createDataFrame([("R", "xyz", "a"), ("R", "ab", "b"), ("R", "ab", "b")], f"{PART}, path string")
     assert sorted(r.reason for r in graph.check_input(bad, ("repository_id", "snapshot_id"), "snapshot_id").collect()) == ["DUPLICATE_PATH", "SHA"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.ids import span_text, stable_id
 from tracewright.functions.paths import import_base, import_candidates, import_class, import_specifiers
+from tracewright.operators.history import first_evidence
 from tracewright.sources.buckets import remove
 
 
@@ -59,8 +60,13 @@ def check_input(files: DataFrame, part: tuple[str, ...], sha: str) -> DataFrame:
     return bad.unionByName(twice).distinct()
 
 
-def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, imports: DataFrame, diagnostics: DataFrame, part: tuple[str, ...] = ("repository_id", "snapshot_id")) -> dict[str, DataFrame]:
-    """nodes, edges, evidence and diagnostics with stable ids; every fact cites evidence, equal facts merge."""
+def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, imports: DataFrame, diagnostics: DataFrame, part: tuple[str, ...] = ("repository_id", "snapshot_id"), most_evidence: int | None = None) -> dict[str, DataFrame]:
+    """nodes, edges, evidence, diagnostics and node_evidence with stable ids; every fact cites evidence, equal facts merge.
+
+    A node's evidence_ids are all of its evidence in order, which for a module is as long as it has importers. With most_evidence they are the first
+    so many, cut in each task before a node's rows meet, so that no task holds a node's whole evidence; node_evidence (part, node_id, evidence_id) has
+    all of it as rows either way.
+    """
     ids = [F.col(c) for c in part]
     node = lambda kind, key: stable_id("node", *ids, F.lit(kind), key)
     ranged = lambda df, kind: df.withColumn("evidence_id", stable_id("ev", *ids, F.col("path"), span_text(F.col("span")), kind if isinstance(kind, Column) else F.lit(kind)))
@@ -73,7 +79,7 @@ def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, i
     key = F.concat(F.col("path"), F.lit("#"), F.col("kind"), F.lit(":"), F.col("name"), F.lit(":"), F.col("span.start_line").cast("string"), F.lit(":"), F.col("span.start_column").cast("string"))
     s = s.withColumn("natural_key", key).withColumn("symbol_id", node("SYMBOL", F.col("natural_key"))).withColumn("file_id", node("FILE", F.col("path")))
     props = F.to_json(F.struct("name", F.col("kind").alias("symbol_kind"), "exported", "path", "span"))
-    symbol_nodes = s.groupBy(*part, F.col("symbol_id").alias("node_id"), "natural_key").agg(F.max(props).alias("properties"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids")).withColumn("kind", F.lit("SYMBOL"))
+    symbol_nodes = merged(s.withColumn("node_id", F.col("symbol_id")), F.max(props), part, most_evidence).withColumn("kind", F.lit("SYMBOL"))
 
     e = ranged(exports.where("local_name is not null"), "export").withColumn("file_id", node("FILE", F.col("path")))
     exported = e.join(s.select(*part, "path", F.col("name").alias("local_name"), "symbol_id"), [*part, "path", "local_name"])
@@ -83,7 +89,9 @@ def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, i
     asset = F.col("target_class") == "asset"
     props = F.to_json(F.struct(F.col("module").alias("specifier"), (~asset).alias("external"), F.when(asset, True).alias("asset")))
     later = F.struct("path", "ordinal")
-    module_nodes = i.where(F.col("target_class").isin("asset", "external")).groupBy(*part, F.col("to_id").alias("node_id"), F.col("to_key").alias("natural_key")).agg(F.max_by(props, later).alias("properties"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids")).withColumn("kind", F.lit("MODULE"))
+    used = i.where(F.col("target_class").isin("asset", "external")).withColumn("node_id", F.col("to_id")).withColumn("natural_key", F.col("to_key"))
+    module_nodes = merged(used, F.max_by(props, later), part, most_evidence).withColumn("kind", F.lit("MODULE"))
+    cited = f.select(*part, "node_id", "evidence_id").unionByName(s.select(*part, F.col("symbol_id").alias("node_id"), "evidence_id")).unionByName(used.select(*part, "node_id", "evidence_id")).distinct()
     nodes = out_nodes.unionByName(symbol_nodes).unionByName(module_nodes)
 
     def edges(df: DataFrame, kind: str, to: str, order: Column) -> DataFrame:
@@ -99,7 +107,16 @@ def structural_graph(files: DataFrame, symbols: DataFrame, exports: DataFrame, i
     evidence = f.select(*part, "evidence_id", F.lit("source_file").alias("kind"), "path", F.lit(None).cast(symbols.schema["span"].dataType).alias("span"))
     for x in spans:
         evidence = evidence.unionByName(x)
-    return {"nodes": nodes, "edges": all_edges, "evidence": evidence.dropDuplicates([*part, "evidence_id"]), "diagnostics": d.unionByName(lost)}
+    return {"nodes": nodes, "edges": all_edges, "evidence": evidence.dropDuplicates([*part, "evidence_id"]), "diagnostics": d.unionByName(lost), "node_evidence": cited}
+
+
+def merged(rows: DataFrame, properties: Column, part: tuple[str, ...], most: int | None) -> DataFrame:
+    """part, node_id, natural_key, properties, evidence_ids of the facts (with evidence_id) about each node."""
+    keys = [*part, "node_id", "natural_key"]
+    if most is None:
+        return rows.groupBy(*keys).agg(properties.alias("properties"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    first = first_evidence(rows.select(*keys, "evidence_id"), keys, "evidence_id", [F.col("evidence_id")], most, "evidence_ids")
+    return rows.groupBy(*keys).agg(properties.alias("properties")).join(first, keys)
 
 
 def import_relations(edges: DataFrame, nodes: DataFrame, part: tuple[str, ...] = ("repository_id", "snapshot_id")) -> DataFrame:

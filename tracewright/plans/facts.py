@@ -62,8 +62,8 @@ def facts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def structure(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return graph.structural_graph(**facts(spark, d))
+def structure(spark: SparkSession, d: str, most_evidence: int | None = None) -> dict[str, DataFrame]:
+    return graph.structural_graph(**facts(spark, d), most_evidence=most_evidence)
 
 
 def structural_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,17 @@ def structural_facts(spark: SparkSession, d: str) -> DataFrame:
     return nodes.unionByName(g["edges"].select("kind", F.col("edge_id").alias("id"), F.concat_ws(">", "from_node", "to_node").alias("about"), F.col("evidence_id").alias("evidence")))
 
 
+#: Pieces of evidence that a node is shown with.
+SHOWN = 3
+
+
+def node_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How much evidence each node has, and the first pieces of it, without any node's evidence as a whole."""
+    g = structure(spark, d, SHOWN)
+    n = g["node_evidence"].groupBy("node_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    return g["nodes"].join(n, "node_id").select("kind", "node_id", "n_evidence", F.array_join("evidence_ids", "|").alias("first_evidence"))
+
+
 def source_imports(spark: SparkSession, d: str) -> DataFrame:
     """Source files made of the pages, read back as bytes: how often each module is imported, and that contents equal their digests.
 
@@ -299,7 +310,7 @@ def newest_orders(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        structural_nodes, structural_facts, source_imports, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
+        structural_nodes, structural_facts, node_evidence, source_imports, structural_edges, structural_evidence, structural_diagnostics, import_relations, structural_page, stored_pages, observed_counts, file_evidence,
         pair_evidence, module_evidence, impact_evidence, scoped_changes, report_view, commit_churn, snapshot_newest, snapshot_by_sha, retrieval_documents,
         source_selection, volume_guard, commit_dump, manifest_rows, ref_rows, part_functions, newest_orders,
     )

@@ -69,6 +69,8 @@ mf AS (
 SQL: dict[str, str] = {
     "structural_nodes": f"""WITH {STRUCTURE} SELECT CASE kind WHEN 'FILE' THEN {node_id("FILE", "natural_key")} WHEN 'SYMBOL' THEN {node_id("SYMBOL", "natural_key")} ELSE {node_id("MODULE", "natural_key")} END AS node_id, kind, natural_key, n_evidence FROM nodes""",
     "structural_facts": f"WITH {STRUCTURE}, {FACTS} SELECT * FROM facts",
+    "node_evidence": f"""WITH {STRUCTURE}, {FACTS} SELECT kind, id AS node_id, CAST(len(string_split(evidence, '|')) AS BIGINT) AS n_evidence, array_to_string(string_split(evidence, '|')[1:3], '|') AS first_evidence
+        FROM facts WHERE kind IN ('FILE', 'SYMBOL', 'MODULE')""",
     "source_imports": """WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages), m AS (SELECT unnest(['./' || host, './part' || (page_id % 50)]) AS module FROM h WHERE host <> '')
         SELECT module, count(*) AS n FROM m GROUP BY module""",
     "structural_edges": f"WITH {STRUCTURE} SELECT kind, from_key, to_key, 1.0e0 AS confidence FROM edges",
