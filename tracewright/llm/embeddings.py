@@ -14,7 +14,7 @@ spread, and its links are all counted.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have a
 null label or id, link with nothing. Vectors of different lengths never meet. Repeated rows count as
-vectors of their own. Extra columns are not read.
+vectors of their own. Extra columns are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations

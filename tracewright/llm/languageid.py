@@ -7,7 +7,8 @@ expectation), in shards whose weights are averaged; a tenth of the sample is kep
 temperature is the one that fits it best.
 
 Defined results: a text that is null or has no letter is `und` with score 0. Without a labelled
-row every text is `und`. Rows are kept one to one; labels that are null are not learned from.
+row every text is `und`. Rows are kept one to one; labels that are null are not learned from. An empty table gives an empty
+one. Of languages of equal probability the first by name counts. Columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ occur at least `exception_docs` times there and never in a toxic row. A logistic
 (matched weight, weight by the root of the length, distinct entries) turns matches into a score.
 
 Defined results: null and empty texts score as texts without a match. Rows are kept one to one.
-Labelled rows with a null id or label are not learned from; without toxic rows the score is 0.
+Labelled rows with a null id or label are not learned from; without rows of both labels every text scores as one without a
+match under the default coefficients (nearly 0). An empty table gives an empty one. A column named as the score is replaced,
+others are kept whatever their names. Repeated rows and ties score alike.
 """
 
 from __future__ import annotations
