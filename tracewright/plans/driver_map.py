@@ -52,17 +52,21 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_paths(spark: SparkSession, d: str) -> DataFrame:
-    """page_id, url, host, path (host/section.ts, a section being the first segment of the page's path), links (array of site-relative specifiers)."""
+    """page_id, url, host, path (host/flattened path), section (host/section.ts, a section being the first segment of the page's path), links (array of site-relative specifiers)."""
     p = load_table(spark, d, "pages")
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     rest = F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)?", 1)
+    flat = F.replace(F.regexp_replace(rest, "^/+|/+$", ""), F.lit("/"), F.lit("~"))
     section = F.regexp_extract(rest, "^/+([^/]*)", 1)
     links = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.concat(F.lit("./"), F.replace(F.regexp_replace(h, "^/+", ""), F.lit("/"), F.lit("~"))))
-    return p.select("page_id", "url", host.alias("host"), F.concat(host, F.lit("/"), F.when(section == "", "index").otherwise(section), F.lit(".ts")).alias("path"), links.alias("links")).where("host != ''")
+    path = F.concat(host, F.lit("/"), F.when(flat == "", "index.ts").otherwise(flat))
+    section = F.concat(host, F.lit("/"), F.when(section == "", "index").otherwise(section), F.lit(".ts"))
+    return p.select("page_id", "url", host.alias("host"), path.alias("path"), section.alias("section"), links.alias("links")).where("host != ''")
 
 
 def page_files(spark: SparkSession, d: str) -> DataFrame:
-    return page_paths(spark, d).select("path").distinct()
+    """Every page is a file, and so is every section, which the links name."""
+    return page_paths(spark, d).select(F.explode(F.array("path", "section")).alias("path")).distinct()
 
 
 def page_imports(spark: SparkSession, d: str) -> DataFrame:

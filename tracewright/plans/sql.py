@@ -98,8 +98,12 @@ ga AS (SELECT q.query_id AS conv_id, CASE WHEN n > 0 THEN '{ANSWER}' || facts EL
 )
 LINKS = r"""
 pp0 AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1) AS rest, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages),
-pp AS (SELECT host, host || '/' || CASE WHEN regexp_extract(rest, '^/+([^/]*)', 1) = '' THEN 'index' ELSE regexp_extract(rest, '^/+([^/]*)', 1) END || '.ts' AS path, hrefs FROM pp0 WHERE host <> ''),
-fl AS (SELECT DISTINCT path FROM pp),
+pp AS (
+  SELECT host, host || '/' || CASE WHEN trim(rest, '/') = '' THEN 'index.ts' ELSE replace(trim(rest, '/'), '/', '~') END AS path,
+    host || '/' || CASE WHEN regexp_extract(rest, '^/+([^/]*)', 1) = '' THEN 'index' ELSE regexp_extract(rest, '^/+([^/]*)', 1) END || '.ts' AS section, hrefs
+  FROM pp0 WHERE host <> ''
+),
+fl AS (SELECT path FROM pp UNION SELECT section FROM pp),
 im AS (SELECT host, path, replace(ltrim(unnest(hrefs), '/'), '/', '~') AS x FROM pp),
 im2 AS (SELECT *, CASE WHEN x IN ('', '.') THEN host ELSE host || '/' || x END AS base, lower(regexp_extract(x, '^.+(\.[^.]+)$', 1)) AS suffix FROM im),
 cand AS (
