@@ -21,8 +21,8 @@ from tracewright.sources.readers import load_table
 #: Whose impact is asked for, and the size up to which the first of two snapshots holds parts.
 SELECTED, SMALL = "00000007", 25
 SHAS = ("a" * 40, "b" * 40)
-#: When the scopes of the reports begin, and how many changes of each are candidates.
-SCOPE_FROM, NEWEST = "1995-03-01", 20
+#: When the scopes of the reports begin.
+SCOPE_FROM = "1994-01-01"
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -191,10 +191,10 @@ def impact_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_changes(spark: SparkSession, d: str) -> DataFrame:
-    """A report per nation over a scope of its own length; its newest changes, with the commit's message where there is one."""
+    """A report per nation over a scope of its own length; all of its changes, with the commit's message where there is one."""
     nation = load_table(spark, d, "nation")
     begin = F.lit(SCOPE_FROM).cast("timestamp_ntz")
-    end = F.expr(f"timestamp_ntz'{SCOPE_FROM}' + make_interval(0, 0, 0, cast(n_nationkey as int) * 30 + 400)")
+    end = F.expr(f"timestamp_ntz'{SCOPE_FROM}' + make_interval(0, 0, 0, cast(n_nationkey as int) * 30 + 824)")
     reports = nation.select(F.concat(F.lit("rep"), F.col("n_nationkey").cast("string")).alias("report_id"), F.col("n_nationkey").cast("long").alias("repository_id"), begin.alias("scope_from"), end.alias("scope_to"))
     customers = load_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("repository_id"))
     orders = load_table(spark, d, "orders").join(customers, "o_custkey").withColumn("commit", F.col("o_orderkey").cast("string"))
@@ -202,7 +202,7 @@ def scoped_changes(spark: SparkSession, d: str) -> DataFrame:
     commits = orders.where("o_orderkey % 3 != 0").select("repository_id", "commit", F.concat(F.lit("status "), "o_orderstatus").alias("message"))
     scoped = audit.in_scope(changes, reports)
     by_report = commits.join(reports.select("report_id", "repository_id"), "repository_id")
-    return audit.candidates(scoped, by_report, ("report_id",), most=NEWEST).select("report_id", "doc_id", "text")
+    return audit.candidates(scoped, by_report, ("report_id",)).select("report_id", "doc_id", "text")
 
 
 def report_view(spark: SparkSession, d: str) -> DataFrame:
