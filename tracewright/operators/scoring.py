@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.dealing import dealt
 from tracewright.operators.history import share, with_max
 
 
@@ -32,13 +33,13 @@ def relations(co_changes: DataFrame, imports: DataFrame | None = None, part: tup
     return out
 
 
-def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, ...] = (), limit: int = 20, backward: float = 0.9) -> DataFrame:
+def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, ...] = (), limit: int = 20, backward: float = 0.9, tasks: int | None = None) -> DataFrame:
     """part, selected_path, path, score, n_reasons, reasons, evidence, rank: neighbours of every path, or of `selected` (part, selected_path).
 
     Relations count forward at their weight and backward at 0.9 of it, self-loops forward only; scores
     are sums, capped at 1, to six places (sums of doubles depend on their order beyond). Evidence is that of all
     relations of the two, co-changes first, and is gathered for the neighbours that are left only; relations without
-    that column give none.
+    that column give none. `tasks` deals the relations over so many tasks.
     """
     if "evidence" not in rel.columns:
         rel = rel.withColumn("evidence", F.array().cast("array<string>"))
@@ -47,6 +48,7 @@ def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, .
     rows = ahead.unionByName(back)
     if selected is not None:
         rows = rows.join(selected, [*part, "selected_path"], "left_semi")
+    rows = dealt(rows, tasks, *part, "selected_path")
     reason = F.format_string("%s (%.2f)", F.replace("kind", F.lit("_"), F.lit(" ")), "weight")
     keyed = F.struct((-F.col("weight")).alias("w"), reason.alias("reason"))
     keys = [*part, "selected_path", "path"]

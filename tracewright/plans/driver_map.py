@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.dealing import dealt, tasks_for
 from tracewright.sources.readers import load_table
 
 LINK = r'href="(/[^"]*)"'
 
 
+def line_tasks(spark: SparkSession, d: str) -> int | None:
+    """How many tasks the line items, and what is made of them, are dealt over."""
+    return tasks_for(spark, load_table(spark, d, "lineitem").count())
+
+
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """commit = order, path = brand/type/part, commit_churn = the order's quantity."""
-    lines = load_table(spark, d, "lineitem")
-    churn = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("commit_churn"))
-    rows = lines.select("l_orderkey", "l_partkey").distinct().join(churn, "l_orderkey")
+    """commit = order, path = brand/type/part, commit_churn = the order's quantity; a row per line item, which the operators make distinct."""
+    lines, n = load_table(spark, d, "lineitem"), line_tasks(spark, d)
+    churn = dealt(lines.select("l_orderkey", "l_quantity"), n, "l_orderkey").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("commit_churn"))
+    located = dealt(lines.select("l_orderkey", "l_partkey"), n, "l_partkey").join(parts(spark, d), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "path")
+    rows = dealt(located, n, "l_orderkey").join(churn, "l_orderkey")
     orders = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("authored_at"))
-    return rows.join(orders, "l_orderkey").join(parts(spark, d), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("commit"), "path", "authored_at", "commit_churn")
+    return rows.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("commit"), "path", "authored_at", "commit_churn")
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +32,8 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 def supplier_changes(spark: SparkSession, d: str) -> DataFrame:
     """The dense variant: path = zero-padded supplier."""
-    return load_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("path")).distinct()
+    rows = load_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("path"))
+    return dealt(rows, line_tasks(spark, d), "commit").distinct()
 
 
 def supplier_imports(spark: SparkSession, d: str) -> DataFrame:

@@ -164,24 +164,24 @@ def bar(c: str):
 
 
 def file_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return history.file_evidence(supplier_history(spark, d)).select("path", bar("evidence").alias("evidence"))
+    return history.file_evidence(supplier_history(spark, d), tasks=m.line_tasks(spark, d)).select("path", bar("evidence").alias("evidence"))
 
 
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
-    ch = supplier_history(spark, d)
-    return history.pair_evidence(ch, history.co_changes(ch)).select("left_path", "right_path", "commit_count", bar("evidence").alias("evidence"))
+    ch, n = supplier_history(spark, d), m.line_tasks(spark, d)
+    return history.pair_evidence(ch, history.co_changes(ch, tasks=n), tasks=n).select("left_path", "right_path", "commit_count", bar("evidence").alias("evidence"))
 
 
 def module_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The first commits of each module, by path and time."""
-    return history.module_evidence(m.parts(spark, d), m.changes(spark, d)).select("module", bar("evidence").alias("evidence"))
+    return history.module_evidence(m.parts(spark, d), m.changes(spark, d), tasks=m.line_tasks(spark, d)).select("module", bar("evidence").alias("evidence"))
 
 
 def impact_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What a change of one supplier touches, with the commits and imports that say so."""
-    ch = supplier_history(spark, d)
+    ch, n = supplier_history(spark, d), m.line_tasks(spark, d)
     of = F.concat(F.lit("import:"), "source")
-    rel = scoring.relations(history.pair_evidence(ch, history.co_changes(ch)), m.supplier_imports(spark, d).withColumn("evidence", F.array(of)))
+    rel = scoring.relations(history.pair_evidence(ch, history.co_changes(ch, tasks=n), tasks=n), m.supplier_imports(spark, d).withColumn("evidence", F.array(of)))
     # Ranking and gathering evidence both read the relations: they are made once.
     to = folder(spark, "relations")
     rel.write.parquet(to)

@@ -35,7 +35,8 @@ def at(text: str):
 
 
 def file_change_stats(spark: SparkSession, d: str) -> DataFrame:
-    return history.file_stats(history.split_churn(m.changes(spark, d)))
+    n = m.line_tasks(spark, d)
+    return history.file_stats(history.split_churn(m.changes(spark, d), tasks=n), tasks=n)
 
 
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
@@ -43,18 +44,18 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_change_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return history.co_changes(m.supplier_changes(spark, d))
+    return history.co_changes(m.supplier_changes(spark, d), tasks=m.line_tasks(spark, d))
 
 
 def co_change_pairs_parts(spark: SparkSession, d: str) -> DataFrame:
-    return history.co_changes(m.changes(spark, d))
+    return history.co_changes(m.changes(spark, d), tasks=m.line_tasks(spark, d))
 
 
 def module_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth part has a second file, which no order touches."""
     parts = m.parts(spark, d)
     files = parts.unionByName(parts.where("p_partkey % 4 = 0").withColumn("path", F.concat("path", F.lit("-notes"))))
-    return history.modules(files, m.changes(spark, d)).select("module", "n_files", "changed_files", "confidence", "description")
+    return history.modules(files, m.changes(spark, d), tasks=m.line_tasks(spark, d)).select("module", "n_files", "changed_files", "confidence", "description")
 
 
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def risk_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_all(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.impact(scoring.relations(co_change_pairs(spark, d))).select("selected_path", "path", "score", "n_reasons", "rank")
+    return scoring.impact(scoring.relations(co_change_pairs(spark, d)), tasks=m.line_tasks(spark, d)).select("selected_path", "path", "score", "n_reasons", "rank")
 
 
 def impact_selected(spark: SparkSession, d: str) -> DataFrame:
