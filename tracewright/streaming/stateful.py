@@ -1,19 +1,21 @@
 """Streams with state per key: idempotent writes and admission, in event order whatever the order of arrival.
 
-Rows of a key wait in list state until the watermark has passed them; a timer at the earliest of them wakes the key, which then
-handles what is due in order of (time, event) and sets the next timer. Rows later than the watermark allows are dropped
+Keys are dealt into a fixed number of buckets by hash. Rows of a bucket wait in list state, packed, until the watermark has passed them; a timer
+at the earliest of them wakes the bucket, which then handles what is due, key by key in order of (time, event), and sets the next timer. Rows later than the watermark allows are dropped
 by Spark. The result of a stream thus does not depend on how its rows were cut into batches. State lives in RocksDB and its
 checkpoint, so that a restart or a lost executor goes on where the last batch ended.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,20 +35,31 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
+#: Buckets of keys. State calls and timers are paid for once a bucket and batch, not once a key; a stream keeps its number for good.
+BUCKETS = 256
+
+
+def packed(pdf: pd.DataFrame) -> tuple[bytes]:
+    """Rows as one value of a state."""
+    table, sink = pa.Table.from_pandas(pdf, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
 class InOrder(StatefulProcessor):
-    """Hands a key's rows to step() in order once the watermark has passed them.
+    """Hands the rows of each key of a bucket to step() in order once the watermark has passed them.
 
-    fields: DDL of what is kept of a row, `tw_t` (microseconds) first, then what breaks ties; out: the columns of the result
-    after the key's.
+    names: what is kept of a row, `tw_t` (microseconds) first, then what breaks ties; out: the columns of the result after the key's.
     """
 
-    def __init__(self, keys: list[str], fields: str, out: list[str]):
-        self.keys, self.fields, self.out = keys, fields, out
-        self.names = [x.split()[0].strip("`") for x in fields.split(", ")]
+    def __init__(self, keys: list[str], names: list[str], out: list[str]):
+        self.keys, self.names, self.out = keys, names, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.held = handle.getValueState("held", "by_key binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def wake(self, at: int) -> None:
@@ -62,7 +75,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            self.waiting.appendList(list(pdf[self.names].itertuples(index=False, name=None)))
+            self.waiting.appendValue(packed(pdf[[*self.keys, *self.names]]))
             least = int(pdf["tw_t"].min())
             first = least if first is None else min(first, least)
         if first is not None:
@@ -72,48 +85,53 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        due, later = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            (due if row[0] < passed else later).append(row)
-        if later:
-            self.waiting.put(later)
-            self.wake(min(row[0] for row in later))
+        held = pickle.loads(self.held.get()[0]) if self.held.exists() else {}
+        out, times = [], []
+        if self.waiting.exists():
+            rows = pa.concat_tables([pa.ipc.open_stream(x[0]).read_all() for x in self.waiting.get()], promote_options="permissive").to_pandas()
+            due, later = rows[rows["tw_t"] < passed], rows[rows["tw_t"] >= passed]
+            if len(later):
+                self.waiting.put([packed(later)])
+                times.append(int(later["tw_t"].min()))
+            else:
+                self.waiting.clear()
+            by_key: dict[tuple, list[tuple]] = {}
+            for of, row in zip(due[self.keys].itertuples(index=False, name=None), due[self.names].itertuples(index=False, name=None), strict=True):
+                by_key.setdefault(of, []).append(row)
+            for of, of_key in by_key.items():
+                held[of], results = self.step(held.get(of), sorted(of_key))
+                out += [(*of, *r) for r in results]
+        # A key whose time is over may go, as later rows would find it over, too.
+        ends = {of: self.ends(state) for of, state in held.items()}
+        held = {of: state for of, state in held.items() if ends[of] is None or ends[of] >= passed}
+        times += [ends[of] for of in held if ends[of] is not None]
+        if held:
+            self.held.update((pickle.dumps(held),))
         else:
-            self.waiting.clear()
-        out = self.step(sorted(due), passed)
-        end = None if later else self.ends()  # what waits sets the timer
-        if end is not None and end < passed:
-            self.forget()
-        elif end is not None:
-            self.wake(end)
+            self.held.clear()
+        if times:
+            self.wake(min(times))
         if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=[*self.keys, *self.out])
+            yield pd.DataFrame(out, columns=[*self.keys, *self.out])
 
-    def step(self, rows: list[tuple], passed: int) -> list[tuple]:
-        """Results of rows in order."""
+    def step(self, state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """What a key holds after rows in order, and their results."""
         raise NotImplementedError
 
-    def ends(self) -> int | None:
-        """When the key's state may go, if nothing waits."""
+    def ends(self, state: tuple) -> int | None:
+        """When what a key holds may go."""
         return None
 
-    def forget(self) -> None:
-        pass
-
 
 class FirstWrites(InOrder):
     """The first fingerprint and resource of a key stand, for good or until the key has been idle for `retention` microseconds."""
 
-    def __init__(self, keys: list[str], fields: str, out: list[str], retention: int | None):
-        super().__init__(keys, fields, out)
+    def __init__(self, keys: list[str], names: list[str], out: list[str], retention: int | None):
+        super().__init__(keys, names, out)
         self.retention = retention
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.first = handle.getValueState("first", "fingerprint string, resource string, used long")
-
-    def step(self, rows: list[tuple], passed: int) -> list[tuple]:
-        first, out = self.first.get() if self.first.exists() else None, []
+    def step(self, first: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        out = []
         for t, event, fingerprint, resource in rows:
             if first is not None and self.retention is not None and t > first[2] + self.retention:
                 first = None
@@ -122,46 +140,31 @@ class FirstWrites(InOrder):
             else:
                 first, outcome = (*first[:2], t), "replayed" if first[0] == fingerprint else "conflict"
             out.append((event, first[1], outcome))
-        if rows:
-            self.first.update(first)
-        return out
-
-    def ends(self) -> int | None:
-        return self.first.get()[2] + self.retention if self.retention is not None and self.first.exists() else None
+        return first, out
 
-    def forget(self) -> None:
-        self.first.clear()
+    def ends(self, first: tuple) -> int | None:
+        return first[2] + self.retention if self.retention is not None else None
 
 
 class Admission(InOrder):
     """At most `limit` admitted events in any `span` microseconds; rejected ones do not count."""
 
-    def __init__(self, keys: list[str], fields: str, out: list[str], limit: int, span: int):
-        super().__init__(keys, fields, out)
+    def __init__(self, keys: list[str], names: list[str], out: list[str], limit: int, span: int):
+        super().__init__(keys, names, out)
         self.limit, self.span = limit, span
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.window = handle.getListState("window", "at long")
-
-    def step(self, rows: list[tuple], passed: int) -> list[tuple]:
-        window, out = deque(x[0] for x in self.window.get()) if self.window.exists() else deque(), []
+    def step(self, times: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        window, out = deque(times or ()), []
         for t, event in rows:
             while window and window[0] <= t - self.span:
                 window.popleft()
             out.append((event, len(window) < self.limit))
             if out[-1][1]:
                 window.append(t)
-        if rows:
-            self.window.put([(t,) for t in window])
-        self.last = window[-1] if window else None
-        return out
-
-    def ends(self) -> int | None:
-        return self.last + self.span if self.last is not None else None
+        return tuple(window), out
 
-    def forget(self) -> None:
-        self.window.clear()
+    def ends(self, times: tuple) -> int | None:
+        return times[-1] + self.span if times else 0
 
 
 class Arrivals(StatefulProcessor):
@@ -211,8 +214,8 @@ def first_writes(stream: DataFrame, keys: list[str], at: str, event: str, finger
     if lateness is None:
         ttl = None if retention_seconds is None else int(retention_seconds * 1000)
         return rows.groupBy(*keys).transformWithStateInPandas(Arrivals(keys, out, ttl), schema, "append", "none" if ttl is None else "processingTime")
-    processor = FirstWrites(keys, f"tw_t long, tw_event {kinds['tw_event']}, tw_fp string, tw_res string", out, None if retention_seconds is None else int(retention_seconds * 1_000_000))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    processor = FirstWrites(keys, ["tw_t", "tw_event", "tw_fp", "tw_res"], out, None if retention_seconds is None else int(retention_seconds * 1_000_000))
+    return rows.withColumn("tw_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).groupBy("tw_bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 def admit_stream(stream: DataFrame, keys: list[str], at: str, event: str, limit: int, seconds: float = 60.0, lateness: str = "1 minute") -> DataFrame:
@@ -223,8 +226,8 @@ def admit_stream(stream: DataFrame, keys: list[str], at: str, event: str, limit:
     """
     rows, kinds = prepared(stream, keys, at, lateness, tw_event=F.col(event))
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{event}` {kinds['tw_event']}, admitted boolean"])
-    processor = Admission(keys, f"tw_t long, tw_event {kinds['tw_event']}", [event, "admitted"], limit, int(seconds * 1_000_000))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    processor = Admission(keys, ["tw_t", "tw_event"], [event, "admitted"], limit, int(seconds * 1_000_000))
+    return rows.withColumn("tw_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).groupBy("tw_bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 def append_to(stream: DataFrame, table: str, checkpoint: str, once: bool = False) -> None:
