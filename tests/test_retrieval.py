@@ -64,3 +64,32 @@ def test_common_terms_add_no_documents():
     postings = [np.arange(10_000), np.arange(5), np.arange(5), np.arange(5)]
     _, found, shared = retrieval.matches([np.array([0, 1, 2, 3])], postings, 10_000, 5)
     assert found.tolist() == [0, 1, 2, 3, 4] and shared.tolist() == [4] * 5
+
+
+@pytest.mark.parametrize(("longest", "flagged", "entries"), [(3, 2, 1), (20, 5, 50), (64, 1000, 10_000)])
+def test_matches_equal_counts_of_all_pairs(monkeypatch, longest, flagged, entries):
+    """Whatever bounds a count, is flagged or looked at together."""
+    for name, n in (("LONGEST", longest), ("FLAGGED", flagged), ("ENTRIES", entries)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = np.random.default_rng(longest)
+    held = rng.random((50, 60)) < rng.random((50, 1)) ** 3  # term, document
+    asked = [rng.choice(50, rng.integers(0, 20), replace=False) for _ in range(40)]
+    got = list(zip(*(x.tolist() for x in retrieval.matches(asked, [np.flatnonzero(h) for h in held], 60, 5)), strict=True))
+    counts = [sorted((-int(held[t, d].sum()), d) for d in range(60)) for t in asked]
+    assert got == [(q, d, -n) for q, c in enumerate(counts) for n, d in c[:5] if n]
+
+
+def test_only_documents_of_rare_terms_are_taken_up(monkeypatch):
+    """Long documents hold most of the terms, so that the documents of the common ones need not be gone through."""
+    taken, spread = [], retrieval.spread
+    monkeypatch.setattr(retrieval, "spread", lambda first, n: (taken.append(int(n.sum())), spread(first, n))[1])
+    postings = [np.arange(600), *(np.unique(np.append(np.arange(600), np.arange(600 + i, 20_000, 2))) for i in range(9))]
+    retrieval.matches([np.arange(10)], postings, 20_000, 5)
+    assert taken[-1] == 600 and sum(taken) < 10_000
+
+
+def test_shards_do_not_grow_with_the_documents(spark):
+    """Beyond some thousand documents a shard holds as many as before: its share of 40,000 is no more than DOCUMENTS."""
+    d = spark.range(40_000).selectExpr("id doc_id", "'word' text")
+    seen = retrieval.best_matches(spark.createDataFrame([(1, "word")], "query_id long, text string"), d, 40_000).count()
+    assert seen == 40_000 and retrieval.DOCUMENTS <= 1 << 14

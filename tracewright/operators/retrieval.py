@@ -26,55 +26,100 @@ def overlaps(queries: DataFrame, docs: DataFrame, stop: tuple[str, ...] = AUDIT_
 
 
 #: Documents and questions of a shard, on average.
-DOCUMENTS, QUESTIONS = 1 << 16, 1 << 15
+DOCUMENTS, QUESTIONS = 1 << 14, 1 << 18
 #: Documents that are worth a task of their own while cores are idle.
-LEAST = 1 << 12
+LEAST = 1 << 13
+#: Documents of a shard that bound each question's k-th best count, terms whose documents are held as flags, and entries that are looked at together.
+LONGEST, FLAGGED, ENTRIES = 512, 1 << 13, 1 << 16
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place) of the n[i] places from first[i] on, of every i."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def runs(work: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbours whose work is ENTRIES at most together; at least one each."""
+    total, out, begin = np.cumsum(work), [], 0
+    while begin < len(work):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + ENTRIES, "right")))
+        out.append((begin, end))
+        begin = end
+    return out
 
 
 def matches(asked: list[np.ndarray], postings: list[np.ndarray], n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(question, document, shared terms) of the k documents that share most terms with each question; ties by document.
 
-    asked: a question's terms; postings: a term's documents, ascending. A question's terms are gone through from the rarest on.
-    A document first met at some term can share no more than the terms that are left, so that once the k-th best count
-    is above that, no further documents are taken up and those met are only looked up in the longer lists; the
-    ones that cannot reach the k-th best any more go.
+    asked: a question's terms; postings: a term's documents, ascending. The k-th best count among the documents with most terms
+    bounds that among all from below. A document that reaches it lacks so few of a question's n terms that it holds one of the
+    n - bound + 1 rarest: only those terms' documents are taken up, and looked for under the other terms while they can still reach
+    the bound. Questions go through this many at a time.
     """
-    df = np.array([len(p) for p in postings], np.int64)
-    count = np.zeros(n_docs, np.int32)
-    found: list[tuple[np.ndarray, ...]] = []
-
-    def kth(met: np.ndarray) -> int:
-        return int(np.partition(count[met], len(met) - k)[len(met) - k]) if len(met) >= k else 0
-
-    for q, terms_of in enumerate(asked):
-        order = terms_of[np.argsort(df[terms_of], kind="stable")]
-        met, touched, least, closed = np.empty(0, np.int32), [], 0, False
-        for i, t in enumerate(order):
-            left = len(order) - i
-            if not closed and least > left:
-                closed = True
-            if closed:
-                met = met[count[met] + left >= least]
-                at = np.searchsorted(postings[t], met)
-                at[at == df[t]] = 0
-                count[met[postings[t][at] == met]] += 1
-            else:
-                p = postings[t]
-                new = p[count[p] == 0]
-                count[p] += 1
-                if len(new):
-                    touched.append(new)
-                    met = np.concatenate([met, new])
-            if i + 1 >= left:  # earlier, no count can be above the terms left
-                least = kth(met)
-        if len(met):
-            least = kth(met)
-            met = met[count[met] >= max(1, least)]
-            met = met[np.lexsort((met, -count[met]))][:k]
-            found.append((np.full(len(met), q), met, count[met].copy()))
-        for x in touched:
-            count[x] = 0
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    size, df = np.array([len(x) for x in asked], np.int64), np.array([len(x) for x in postings], np.int64)
+    if not df.sum() or not size.sum():
+        return (np.empty(0, np.int64),) * 3
+    question, term = np.repeat(np.arange(len(size)), size), np.concatenate(asked).astype(np.int64)
+    term = term[np.lexsort((df[term], question))]
+    at, first = np.cumsum(size) - size, np.cumsum(df) - df
+    doc, of_term = np.concatenate(postings), np.repeat(np.arange(len(df), dtype=np.int32), df)
+    per_question = lambda x: np.bincount(question, x, len(size)).astype(np.int64)
+
+    # The bound: counts of all of the longest documents.
+    n_long = min(LONGEST, n_docs)
+    number = np.full(n_docs, -1)
+    number[np.argpartition(-np.bincount(doc, minlength=n_docs), n_long - 1)[:n_long]] = np.arange(n_long)
+    among = number[doc] >= 0
+    long_doc, long_df = number[doc[among]], np.bincount(of_term[among], minlength=len(df))
+    long_first, least = np.cumsum(long_df) - long_df, np.ones(len(size), np.int64)
+    for b, e in runs(per_question(long_df[term]) + n_long) if n_long >= k else ():
+        mine = slice(at[b], at[e - 1] + size[e - 1])
+        i, place = spread(long_first[term[mine]], long_df[term[mine]])
+        counts = np.bincount((question[mine][i] - b) * n_long + long_doc[place], minlength=(e - b) * n_long).reshape(-1, n_long)
+        least[b:e] = np.maximum(1, np.partition(counts, n_long - k, axis=1)[:, n_long - k])
+
+    # Flags, a bit each, of the terms with most documents; other terms are looked up in order.
+    keys, flagged = np.int64(n_docs) * of_term + doc, np.full(len(df), -1)
+    top_terms = np.sort(np.argsort(-df, kind="stable")[:FLAGGED])
+    flagged[top_terms] = np.arange(len(top_terms))
+    seen = flagged[of_term] >= 0
+    bit = flagged[of_term[seen]] * n_docs + doc[seen]  # ascending, as terms and their documents are
+    flags, begin = np.zeros(len(top_terms) * n_docs // 8 + 1, np.uint8), np.flatnonzero(np.diff(bit >> 3, prepend=-1))
+    flags[bit[begin] >> 3] = np.add.reduceat(np.left_shift(1, bit & 7).astype(np.uint8), begin)
+
+    def holds(terms_of: np.ndarray, docs_of: np.ndarray) -> np.ndarray:
+        out, slot = np.zeros(len(docs_of), bool), flagged[terms_of]
+        bit = (slot * n_docs + docs_of)[slot >= 0]
+        out[slot >= 0] = flags[bit >> 3] >> (bit & 7) & 1
+        wanted = (terms_of * n_docs + docs_of)[slot < 0]
+        out[slot < 0] = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+        return out
+
+    head, found = size - least + 1, []
+    rare = np.arange(len(term)) - at[question] < head[question]
+    for b, e in runs(per_question(np.where(rare, df[term], 0)) + 1):
+        mine = np.arange(at[b], at[e - 1] + size[e - 1])
+        mine = mine[rare[mine]]
+        i, place = spread(first[term[mine]], df[term[mine]])
+        met = (question[mine][i] - b) * n_docs + doc[place]
+        met.sort()
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(met)), bool), met[1:] != met[:-1]]))
+        count, met = np.diff(np.append(begin, len(met))), met[begin]
+        q, d = met // n_docs + b, met % n_docs
+        for step in range(int((size - head)[b:e].max(initial=0)) + 1):
+            left = np.maximum(0, size[q] - head[q] - step)
+            stay = count + left >= least[q]
+            q, d, count, left = q[stay], d[stay], count[stay], left[stay]
+            more = np.flatnonzero(left)
+            if not len(more):
+                break
+            count[more] += holds(term[at[q[more]] + head[q[more]] + step], d[more])
+        best = np.lexsort((d, -count, q))
+        q, d, count = q[best], d[best], count[best]
+        stay = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[stay], d[stay], count[stay]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def best_matches(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, ...] = AUDIT_STOP, on: tuple[str, ...] = ()) -> DataFrame:
@@ -94,7 +139,8 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, .
     with_sizes = lambda df: df.join(both, list(on)) if on else df.crossJoin(F.broadcast(both))  # one row
     deal = lambda column, of: F.pmod(F.xxhash64(column), of).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = with_sizes(d).select(*on, "doc_id", terms(F.col("text"), stop).alias("terms"), deal("doc_id", "shards").alias("shard"), every("parts").alias("part"))
+    d = with_sizes(d).select(*on, "doc_id", terms(F.col("text"), stop).alias("terms"), deal("doc_id", "shards").alias("shard"), "parts")
+    left = d.select(*on, "doc_id", "terms", "shard", every("parts").alias("part"))
     right = with_sizes(q).select(*on, "query_id", "terms", every("shards").alias("shard"), deal("query_id", "parts").alias("part"))
 
     def run(documents: pa.Table, questions: pa.Table) -> pa.Table:
@@ -113,9 +159,9 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, .
             rows.append(row[term.is_valid().to_numpy(zero_copy_only=False)])
             held.append(term.drop_null().to_numpy(zero_copy_only=False).astype(np.int32))
             begin += len(chunk)
-        row, term = np.concatenate(rows), np.concatenate(held)
-        order_of = np.lexsort((row, term))
-        postings = np.split(row[order_of], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))[:-1]) if len(words.dictionary) else []
+        key = np.concatenate(held).astype(np.int64) << 32 | np.concatenate(rows)
+        key.sort()
+        postings = np.split((key & 0xFFFFFFFF).astype(np.int32), np.cumsum(np.bincount(key >> 32, minlength=len(words.dictionary)))[:-1]) if len(words.dictionary) else []
         a, b, n = matches(asked, postings, documents.num_rows, k)
         out = {c: questions[c].take(pa.array(a)) for c in (*on, "query_id")}
         return pa.table(out | {"doc_id": documents["doc_id"].take(order.take(pa.array(b))), "score": n / size[a]})
