@@ -43,9 +43,10 @@ def impact(rel: DataFrame, selected: DataFrame | None = None, part: tuple[str, .
     """
     if "evidence" not in rel.columns:
         rel = rel.withColumn("evidence", F.array().cast("array<string>"))
-    ahead = rel.select(*part, F.col("source").alias("selected_path"), F.col("target").alias("path"), "kind", "weight", "evidence")
-    back = rel.where("source != target").select(*part, F.col("target").alias("selected_path"), F.col("source").alias("path"), "kind", (F.col("weight") * backward).alias("weight"), "evidence")
-    rows = ahead.unionByName(back)
+    way = lambda a, b, weight: F.struct(F.col(a).alias("selected_path"), F.col(b).alias("path"), weight.alias("weight"))
+    ahead, back = way("source", "target", F.col("weight")), way("target", "source", F.col("weight") * backward)
+    # Both ways of a relation from one pass over the relations, which would be made again for the second.
+    rows = rel.select(*part, "kind", "evidence", F.inline(F.when(F.col("source") != F.col("target"), F.array(ahead, back)).otherwise(F.array(ahead))))
     if selected is not None:
         rows = rows.join(selected, [*part, "selected_path"], "left_semi")
     rows = dealt(rows, tasks, *part, "selected_path")

@@ -45,6 +45,11 @@ def supplier_imports(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(key("s_suppkey").alias("source"), key("k2").alias("target"))
 
 
+def touching(rel: DataFrame, path: str) -> DataFrame:
+    """The relations of one path, which are all that its impact depends on: no others need be sorted and joined."""
+    return rel.where((F.col("source") == path) | (F.col("target") == path))
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 

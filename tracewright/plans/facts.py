@@ -181,12 +181,12 @@ def impact_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What a change of one supplier touches, with the commits and imports that say so."""
     ch, n = supplier_history(spark, d), m.line_tasks(spark, d)
     of = F.concat(F.lit("import:"), "source")
-    rel = scoring.relations(history.pair_evidence(ch, history.co_changes(ch, tasks=n), tasks=n), m.supplier_imports(spark, d).withColumn("evidence", F.array(of)))
+    rel = m.touching(scoring.relations(history.pair_evidence(ch, history.co_changes(ch, tasks=n), tasks=n), m.supplier_imports(spark, d).withColumn("evidence", F.array(of))), SELECTED)
     # Ranking and gathering evidence both read the relations: they are made once.
     to = folder(spark, "relations")
     rel.write.parquet(to)
     rel = spark.read.schema(rel.schema).parquet(to)
-    chosen = rel.select(F.explode(F.array("source", "target")).alias("selected_path")).where(F.col("selected_path") == SELECTED).distinct()
+    chosen = F.broadcast(spark.range(1).select(F.lit(SELECTED).alias("selected_path")))  # one row
     return scoring.impact(rel, chosen).select("path", "score", F.array_join("evidence", "|").alias("evidence"))
 
 

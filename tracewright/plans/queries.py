@@ -67,8 +67,8 @@ def impact_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_selected(spark: SparkSession, d: str) -> DataFrame:
-    rel = scoring.relations(co_change_pairs(spark, d), m.supplier_imports(spark, d))
-    chosen = rel.select(F.explode(F.array("source", "target")).alias("selected_path")).where(F.col("selected_path") == SELECTED).distinct()
+    rel = m.touching(scoring.relations(co_change_pairs(spark, d), m.supplier_imports(spark, d)), SELECTED)
+    chosen = F.broadcast(spark.range(1).select(F.lit(SELECTED).alias("selected_path")))  # one row
     kinds = F.array_join(F.transform("reasons", lambda r: F.regexp_replace(r, r" \(.*$", "")), "|")
     return scoring.impact(rel, chosen).select("path", "score", kinds.alias("reasons"))
 
