@@ -51,7 +51,11 @@ def import_base(source: Column, specifier: Column) -> Column:
 
 def import_candidates(source: Column, specifier: Column) -> Column:
     """Paths that a relative import may mean, best first; empty if it leaves the root."""
-    base, end = import_base(source, specifier), suffix(import_base(source, specifier))
+    return base_candidates(import_base(source, specifier), suffix(import_base(source, specifier)))
+
+
+def base_candidates(base: Column, end: Column) -> Column:
+    """import_candidates() of an import's base and the suffix of that; both are used often, so that columns made before spare most of the work."""
     root = base == "."
     index = F.array(*(F.when(root, F.lit(f"index{e}")).otherwise(F.concat(base, F.lit(f"/index{e}"))) for e in INDEX))
     typed = F.array(base, *(F.concat(without_suffix(base), F.lit(e)) for e in (".ts", ".tsx")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.ids import span_text, stable_id
-from tracewright.functions.paths import import_base, import_candidates, import_class, import_specifiers
+from tracewright.functions.paths import base_candidates, import_base, import_class, import_specifiers, suffix
 from tracewright.operators.history import first_evidence
 from tracewright.sources.buckets import remove
 
@@ -27,10 +27,12 @@ def link_facts(files: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
 def resolve(imports: DataFrame, files: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
     """imports with `resolved`, the first candidate that is a file of the snapshot, and `target_class`.
 
-    Resolution runs once per distinct (path, module) and joins candidates to known paths by equality.
+    Resolution runs once per distinct (path, module) and joins candidates to known paths by equality. A base is made once, as a
+    column, since each candidate is spelled from it.
     """
-    asked = imports.select(*part, "path", "module").distinct()
-    tried = asked.where(F.col("module").startswith(".")).select(*part, "path", "module", F.posexplode(import_candidates(F.col("path"), F.col("module"))).alias("pos", "candidate"))
+    asked = imports.where(F.col("module").startswith(".")).select(*part, "path", "module").distinct()
+    based = asked.withColumn("__base", import_base(F.col("path"), F.col("module"))).withColumn("__end", suffix(F.col("__base")))
+    tried = based.select(*part, "path", "module", F.posexplode(base_candidates(F.col("__base"), F.col("__end"))).alias("pos", "candidate"))
     known = files.select(*part, F.col("path").alias("candidate")).distinct()
     hit = tried.join(known, [*part, "candidate"]).groupBy(*part, "path", "module").agg(F.min_by("candidate", "pos").alias("resolved"))
     out = imports.join(hit, [*part, "path", "module"], "left")
