@@ -56,7 +56,7 @@ def file_pairs(rows: DataFrame, part: tuple[str, ...] = (), right: tuple[str, ..
 
     A commit's files are dealt into blocks of bounded size, and each pair of blocks is a key of the join, so that the pairs of a
     commit of any size are made by many tasks. Most commits are one block. A name both in `left` and `right` gets the suffix _left or _right.
-    `about` (part, path, columns) is joined to the rows by path. Rows that are dealt by commit are sized where they are.
+    `about` (part, path, columns) is joined to the rows by path; it is dealt, too, as Spark would else deal the rows over as few tasks as it has. Rows that are dealt by commit are sized where they are.
     """
     keys = [*part, "commit"]
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
@@ -65,7 +65,7 @@ def file_pairs(rows: DataFrame, part: tuple[str, ...] = (), right: tuple[str, ..
     block = block.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other"))
     at = [*keys, "__lo", "__hi"]
     if about is not None:
-        block = dealt(block, tasks, *part, "path").join(about, [*part, "path"])
+        block = dealt(block, tasks, *part, "path").join(dealt(about, tasks, *part, "path"), [*part, "path"])
     block = dealt(block.select(*at, "path", "__own", *dict.fromkeys((*left, *right))), tasks, *at)
     name = lambda c, side: f"{c}_{side}" if c in left and c in right else c
     a = block.select(*at, F.col("path").alias("left_path"), F.col("__own").alias("__left"), *(F.col(c).alias(name(c, "left")) for c in left))
