@@ -125,7 +125,7 @@ def pair_evidence(changes: DataFrame, pairs: DataFrame, part: tuple[str, ...] =
 def modules(current_files: DataFrame, changes: DataFrame, part: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """part, module, files, n_files, changed_files, confidence, description, inferred of current files (part, path)."""
     seen = dealt(changes.select(*part, "path"), tasks, *part, "path").distinct().withColumn("seen", F.lit(1))
-    files = current_files.select(*part, "path").distinct().join(seen, [*part, "path"], "left").withColumn("module", module_key(F.col("path")))
+    files = dealt(current_files.select(*part, "path"), tasks, *part, "path").distinct().join(seen, [*part, "path"], "left").withColumn("module", module_key(F.col("path")))
     out = files.groupBy(*part, "module").agg(F.sort_array(F.collect_list("path")).alias("files"), F.count(F.lit(1)).alias("n_files"), F.count("seen").alias("changed_files"))
     text = F.format_string("Inferred directory module containing %d current files; %d have observed commit evidence.", "n_files", "changed_files")
     return out.withColumn("confidence", F.lit(0.5) + F.lit(0.5) * F.col("changed_files") / F.col("n_files")).withColumn("description", text).withColumn("inferred", F.lit(True))
@@ -133,7 +133,8 @@ def modules(current_files: DataFrame, changes: DataFrame, part: tuple[str, ...]
 
 def module_evidence(current_files: DataFrame, changes: DataFrame, part: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """part, module, evidence: first distinct commits in (path, commit) order."""
-    rows = current_files.select(*part, "path").distinct().join(dealt(changes.select(*part, "path", "commit", "authored_at"), tasks, *part, "path"), [*part, "path"]).withColumn("module", module_key(F.col("path")))
+    files = dealt(current_files.select(*part, "path"), tasks, *part, "path").distinct()
+    rows = files.join(dealt(changes.select(*part, "path", "commit", "authored_at"), tasks, *part, "path"), [*part, "path"]).withColumn("module", module_key(F.col("path")))
     return first_evidence(rows, [*part, "module"], "commit", [F.col("path"), F.col("authored_at"), F.col("commit")], tasks=tasks)
 
 
