@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a task, on average, beyond which they are dealt over more tasks.
-ROWS = 1 << 19
+ROWS = 1 << 17
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int | None:

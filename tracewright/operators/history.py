@@ -22,7 +22,7 @@ def split_churn(changes: DataFrame, part: tuple[str, ...] = (), tasks: int | Non
     distinct = dealt(distinct, tasks, *part, "commit")  # apart from the step before, as each table of a task takes memory of its own
     sizes = distinct.groupBy(*part, "commit").agg(F.count(F.lit(1)).alias("n_files"))
     share = F.greatest(F.lit(1), F.floor(F.col("commit_churn") / F.col("n_files"))).cast("long")
-    return distinct.join(sizes, [*part, "commit"]).withColumn("churn", share).drop("commit_churn")
+    return distinct.join(sizes.hint("merge") if tasks else sizes, [*part, "commit"]).withColumn("churn", share).drop("commit_churn")
 
 
 def file_stats(changes: DataFrame, part: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:

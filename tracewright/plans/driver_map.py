@@ -20,10 +20,12 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
     """commit = order, path = brand/type/part, commit_churn = the order's quantity; a row per line item, which the operators make distinct."""
     lines, n = load_table(spark, d, "lineitem"), line_tasks(spark, d)
     churn = dealt(lines.select("l_orderkey", "l_quantity"), n, "l_orderkey").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("commit_churn"))
-    located = dealt(lines.select("l_orderkey", "l_partkey"), n, "l_partkey").join(parts(spark, d), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "path")
-    rows = dealt(located, n, "l_orderkey").join(churn, "l_orderkey")
+    # By its file's size Spark takes a table of millions of rows for a small one, and a task then holds all of it.
+    spread = lambda df, key: dealt(df, n, key).hint("merge") if n else df
+    located = dealt(lines.select("l_orderkey", "l_partkey"), n, "l_partkey").join(spread(parts(spark, d), "p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "path")
+    rows = dealt(located, n, "l_orderkey").join(churn.hint("merge") if n else churn, "l_orderkey")
     orders = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("authored_at"))
-    return rows.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("commit"), "path", "authored_at", "commit_churn")
+    return rows.join(spread(orders, "l_orderkey"), "l_orderkey").select(F.col("l_orderkey").alias("commit"), "path", "authored_at", "commit_churn")
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
